@@ -57,7 +57,10 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 0)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """NFKC normalisation (no built-in); Arrow-batched."""
+def _nfkc_series(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else v)
+
+
+def nfkc(c: Column | str) -> Column:
+    """NFKC normalisation (no built-in); Arrow-batched pandas UDF."""
+    return F.pandas_udf(_nfkc_series, "string")(_c(c))
