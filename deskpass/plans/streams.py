@@ -1 +1,135 @@
-"""Plans: streams."""
+"""Streaming checks: each stream is fed the table cut into files, restarted once
+from its checkpoint, and must equal the batch result (ST1–ST6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from deskpass.plans.registry import ORACLE, register
+from deskpass.plans.sessions import exchanges
+from deskpass.session import scratch_path
+from deskpass.sources.tables import rule_request_view, table
+from deskpass.streaming import decisions as SD
+from deskpass.streaming import sessions as SS
+from deskpass.streaming import indexing as SI
+
+
+def _run_in_two_parts(spark, parts, feed, start):
+    """Feed the first half, run to the end, then the rest and run again (restart from checkpoint)."""
+    half = max(1, len(parts) // 2)
+    SD.feed_files(parts[:half], feed)
+    start().awaitTermination()
+    SD.feed_files(parts[half:], feed)
+    start().awaitTermination()
+
+
+def _arrivals(spark, d):
+    ev = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").alias("arrived_at"))
+    return rule_request_view(spark, d).join(ev, "request_id", "left")
+
+
+def _st1(spark, d, replay: bool):
+    base = scratch_path(spark, "st1")
+    feed, sink, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    arrivals = _arrivals(spark, d)
+    parts = SD.slices(arrivals, "request_id", SD.key_bounds(arrivals, "request_id", 4))
+    stream = lambda: spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    _run_in_two_parts(spark, parts, feed, lambda: SD.decide_stream(stream(), sink, ck))
+    if replay:  # a retried micro-batch rewrites only its own partition
+        first = spark.read.parquet(feed).join(
+            spark.read.parquet(sink).filter("batch_id = 0").select("request_id"), "request_id", "left_semi")
+        SD.write_partition(SD.decide_batch(first), sink, 0)
+    return spark.read.parquet(sink).select("request_id", "category", "decision", "reject_reason")
+
+
+@register("ST1_decide_stream")
+def st1(spark, d):
+    return _st1(spark, d, replay=False)
+
+
+@register("ST3_idempotent_append")
+def st3(spark, d):
+    return _st1(spark, d, replay=True)
+
+
+@register("ST2_skip_rejected_stream")
+def st2(spark, d):
+    base = scratch_path(spark, "st2")
+    feed, sink, rej, ck = f"{base}/in", f"{base}/out", f"{base}/rejects", f"{base}/ck"
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    parts = SD.slices(ev, "event_id", SD.key_bounds(ev, "event_id", 4))
+    stream = lambda: spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    _run_in_two_parts(spark, parts, feed, lambda: SD.skip_rejected_stream(spark, stream(), sink, rej, ck))
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
+
+
+@register("ST4_session_memory_stream")
+def st4(spark, d):
+    base = scratch_path(spark, "st4")
+    feed, sink, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    ex = exchanges(spark, d)
+    parts = SD.slices(ex, "turn", [2, 4])
+
+    def start():
+        s = spark.readStream.schema(ex.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        mem = SS.session_memory(s)
+        return (mem.writeStream.foreachBatch(lambda b, i: SD.write_partition(b, sink, i))
+                .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    _run_in_two_parts(spark, parts, feed, start)
+    out = spark.read.parquet(sink)
+    last = out.groupBy("conv_id").agg(F.max_by(F.struct("n_kept", "context"), "batch_id").alias("s"))
+    return last.select("conv_id", F.col("s.n_kept").alias("n_kept"), F.col("s.context").alias("context"))
+
+
+@register("ST5_incremental_index")
+def st5(spark, d):
+    base = scratch_path(spark, "st5")
+    folder, state = f"{base}/docs", f"{base}/state"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(8, "doc_id").select("text").write.text(folder)
+    SI.index_changed(spark, folder, state, 1)
+    # touch one file: a newer modification time marks it as changed
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    first = sorted(st.getPath().toString() for st in fs.listStatus(root) if st.getPath().getName().endswith(".txt"))[0]
+    p = jvm.org.apache.hadoop.fs.Path(first)
+    fs.setTimes(p, fs.getFileStatus(p).getModificationTime() + 60_000, -1)
+    index, changed = SI.index_changed(spark, folder, state, 2)
+    n_changed = changed.count()
+    if n_changed != 1:
+        raise AssertionError(f"expected one changed file, got {n_changed}")
+    return index.select("path", "chunk_no", F.size("embedding").alias("dims"))
+
+
+@register("ST6_collect_and_refit")
+def st6(spark, d):
+    from deskpass.operators import ml as ML
+    from deskpass.plans.models import labelled
+    base = scratch_path(spark, "st6")
+    feed, tbl, ck, models = f"{base}/in", f"{base}/train", f"{base}/ck", f"{base}/models"
+    rows = labelled(spark, d).filter(F.col("label").isNotNull() & F.col("model_text").isNotNull())
+    train = rows.filter(~F.col("is_test")).select("request_id", "model_text", "label")
+    parts = SD.slices(train, "request_id", SD.key_bounds(train, "request_id", 3))
+    stream = lambda: spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    SD.feed_files(parts, feed)
+    SI.collect_training(stream(), tbl, ck)
+    model, _ = SI.refit(spark, tbl, ML.text_forest("model_text", "label", num_trees=50), models, 1)
+    return model.transform(rows.filter("is_test")).select("request_id", "label", "prediction")
+
+
+def _same_as(name, batch_name):
+    def link():
+        from deskpass.plans import rules, sessions  # noqa: F401  (ensure batch oracles are registered)
+        if batch_name in ORACLE:
+            ORACLE[name] = ORACLE[batch_name]
+    return link
+
+
+# A stream must equal its batch counterpart, so it shares that oracle.
+for _n, _b in [("ST1_decide_stream", "R1_three_outcome"), ("ST3_idempotent_append", "R1_three_outcome"),
+               ("ST2_skip_rejected_stream", "W6_until_first_reject"),
+               ("ST4_session_memory_stream", "W2_context_text")]:
+    _same_as(_n, _b)()
