@@ -1 +1,156 @@
-"""Plans: files."""
+"""Source and sink round trips (S1–S6, S8–S10, S13, U3): write what Spark derives
+from the driver tables into the shared scratch folder, read it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from deskpass.functions import rules as RU
+from deskpass.functions.render import training_record
+from deskpass.operators.relational import union_all
+from deskpass.plans.registry import register
+from deskpass.plans.requests import requests_with_category
+from deskpass.plans.sessions import PAIRS_SQL, exchanges
+from deskpass.plans.sqlbits import CATS, with_views
+from deskpass.schema import BATCH_LOG, CATEGORIES, REQUESTS
+from deskpass.session import scratch_path
+from deskpass.sources import files as FS
+from deskpass.sources.tables import REQUEST_VIEW_SQL, request_view, table
+
+
+@register("S1_read_requests", REQUEST_VIEW_SQL)
+def s1(spark, d):
+    base = scratch_path(spark, "s1")
+    request_view(spark, d).write.parquet(f"{base}/parquet")
+    return FS.read_requests(spark, f"{base}/parquet", "parquet", REQUESTS)
+
+
+@register("S1_read_requests_json", REQUEST_VIEW_SQL)
+def s1_json(spark, d):
+    base = scratch_path(spark, "s1j")
+    request_view(spark, d).write.json(f"{base}/json")
+    return FS.read_requests(spark, f"{base}/json", "json", REQUESTS)
+
+
+def _docs_as_files(spark, d, folder, n_files=8):
+    """Documents written as text files (one text per line group, several files)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(n_files, "doc_id").select("text").write.text(folder)
+
+
+@register("S2_read_corpus")
+def s2(spark, d):
+    base = scratch_path(spark, "s2")
+    _docs_as_files(spark, d, f"{base}/docs")
+    corpus = FS.read_corpus(spark, f"{base}/docs", "*.txt")
+    return corpus.select("path", F.char_length("text").alias("n_chars"))
+
+
+@register("U3_union_readers")
+def u3(spark, d):
+    base = scratch_path(spark, "u3")
+    _docs_as_files(spark, d, f"{base}/docs")
+    from_files = FS.read_corpus(spark, f"{base}/docs", "*.txt").select(F.col("path").alias("source"), "text")
+    from_table = table(spark, d, "documents").select(F.concat(F.lit("table:"), F.col("source")).alias("source"), "text")
+    return union_all([from_files, from_table]).select("source", F.char_length("text").alias("n_chars"))
+
+
+@register("S3_changed_files")
+def s3(spark, d):
+    base = scratch_path(spark, "s3")
+    _docs_as_files(spark, d, f"{base}/docs")
+    listing = FS.file_listing(spark, f"{base}/docs", "*.txt")
+    # nothing is known yet: every file is new; then the manifest makes none of them new
+    first = FS.changed_files(listing, spark.createDataFrame([], "path string, modified_at timestamp"))
+    manifest = FS.update_manifest(spark.createDataFrame([], "path string, modified_at timestamp"), first)
+    second = FS.changed_files(listing, manifest)
+    return first.select("path", F.lit("new").alias("state")).unionByName(
+        second.select("path", F.lit("changed_again").alias("state")))
+
+
+def _batch_log(spark, d):
+    v = requests_with_category(spark, d, rules=True)
+    dec = RU.decide(v, "lenient")
+    return dec.select(F.col("request_id").cast("string").alias("row_id"), F.col("category"),
+                      F.col("reason"), F.col("decision"), F.col("reject_reason"),
+                      F.lit("2024-01-01 09:00:00").alias("saved_at"))
+
+
+@register("S4_load_or_create_log")
+def s4(spark, d):
+    base = scratch_path(spark, "s4")
+    empty = FS.load_or_create_log(spark, f"{base}/log", BATCH_LOG)
+    n0 = empty.count()
+    FS.save_log(empty.unionByName(_batch_log(spark, d)), f"{base}/log")
+    again = spark.read.schema(BATCH_LOG).option("header", True).option("multiLine", True).csv(f"{base}/log")
+    return again.select("row_id", "decision", F.lit(n0).alias("rows_before"))
+
+
+@register("S5_save_log_csv")
+def s5(spark, d):
+    base = scratch_path(spark, "s5")
+    FS.save_log(_batch_log(spark, d), f"{base}/v1")
+    back = spark.read.schema(BATCH_LOG).option("header", True).option("multiLine", True).csv(f"{base}/v1")
+    return back.select("row_id", "category", "decision", "reject_reason")
+
+
+@register("S6_append_decisions")
+def s6(spark, d):
+    base = scratch_path(spark, "s6")
+    v = requests_with_category(spark, d, rules=True)
+    dec = RU.decide(v, "three").select("request_id", "decision")
+    FS.append_decisions(dec, f"{base}/log")
+    FS.append_decisions(dec, f"{base}/log")
+    return spark.read.parquet(f"{base}/log")
+
+
+@register("S7_write_jsonl", with_views(
+    "select to_json({'prompt': '요청: ' || coalesce(request_raw, 'nan') || ', 요청 사유: ' "
+    "|| coalesce(reason, 'nan'), 'completion': coalesce(status, 'nan') || ': ' || coalesce(approver_note, 'nan')})"
+    " as value from r"))
+def s7_file(spark, d):
+    base = scratch_path(spark, "s7")
+    rec = request_view(spark, d).select(training_record("request_raw", "reason", "status", "approver_note").alias("r"))
+    FS.write_jsonl(rec.select("r.prompt", "r.completion"), f"{base}/jsonl")
+    return spark.read.text(f"{base}/jsonl")
+
+
+def _log_rows(spark, d):
+    ex = exchanges(spark, d)
+    ts = F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(0, conv_id, turn, 0)")
+    return ex.select(F.col("conv_id").cast("string").alias("session_id"), ts.alias("ts"), "question", "answer")
+
+
+@register("S8_conversation_log_day", f"""select cast(conv_id as varchar) as session_id, question, answer
+from ({PAIRS_SQL}) p
+where strftime(timestamp '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn), '%Y%m%d') = '20240102'""")
+def s8(spark, d):
+    base = scratch_path(spark, "s8")
+    FS.write_conversations(_log_rows(spark, d), f"{base}/log")
+    day = FS.load_conversations(spark, f"{base}/log", "20240102")
+    return day.select("session_id", "question", "answer")
+
+
+@register("S9_write_cleaned", with_views(
+    f"select request_id, category, status from r where status in ('승인됨', '거절됨') and category in {CATS}"))
+def s9(spark, d):
+    base = scratch_path(spark, "s9")
+    v = requests_with_category(spark, d)
+    cleaned = (v.dropna(subset=["status"]).filter(F.col("status").isin("승인됨", "거절됨"))
+               .filter(F.col("category").isin(CATEGORIES)).select("request_id", "category", "status"))
+    FS.append_decisions(cleaned, f"{base}/cleaned")
+    return spark.read.parquet(f"{base}/cleaned")
+
+
+@register("S13_bad_files_to_errors")
+def s13(spark, d):
+    """Documents as UTF-8 files plus the same texts re-encoded as Latin-1: files
+    that are not valid UTF-8 go to the errors table, the rest load."""
+    base = scratch_path(spark, "s13")
+    docs = table(spark, d, "documents").select("text")
+    docs.repartition(4).write.text(f"{base}/docs/good")
+    (docs.filter(F.col("text").rlike("[^\\x00-\\x7F]")).repartition(2)
+     .write.option("encoding", "ISO-8859-1").option("quoteAll", False).option("escapeQuotes", False)
+     .csv(f"{base}/docs/latin1"))
+    ok, bad = FS.read_with_errors(spark, f"{base}/docs", "*.*")
+    return ok.select("path", F.lit(None).cast("string").alias("error")).unionByName(bad)

@@ -134,7 +134,7 @@ VECTOR_INDEX = T.StructType([
 
 CONVERSATION_LOG = T.StructType([
     T.StructField("session_id", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("ts", T.TimestampNTZType()),
     T.StructField("question", T.StringType()),
     T.StructField("answer", T.StringType()),
 ])
