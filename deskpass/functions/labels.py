@@ -52,8 +52,10 @@ def duplicate_flag(note: Column | str, word: str = "중복") -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
+    """Null, or nothing but whitespace (same as ``py_strip(c) == ''``; the search
+    stops at the first non-space character instead of rewriting the text)."""
     c = _c(c)
-    return c.isNull() | (py_strip(c) == "")
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def validate_required(*cols: Column | str) -> Column:

@@ -48,6 +48,45 @@ def attendee_re(names: Iterable[str] = DEFAULT_NAMES) -> str:
     return alt(list(TITLE_TERMS) + list(names))
 
 
+_META = set("[](){}.*+?^$|\\")
+
+
+def _guard(term: str) -> str:
+    """Literal characters a pattern term cannot match without (``[0-9]+층`` → ``층``)."""
+    out, depth = [], 0
+    for ch in term:
+        if ch == "[":
+            depth += 1
+        elif ch == "]":
+            depth -= 1
+        elif depth == 0 and ch not in _META:
+            out.append(ch)
+    return "".join(out)
+
+
+def match_any(c: Column | str, terms: Iterable[str]) -> Column:
+    """True when the text contains any term; same result as ``rlike(alt(terms))``.
+
+    Literal terms become ``contains`` (a byte search), so long texts are not run
+    through a many-way regex alternation at every position; a pattern term runs
+    its regex only when its literal part is present.
+    """
+    c = _c(c)
+    expr = None
+    for t in terms:
+        if any(ch in _META for ch in t):
+            g = _guard(t)
+            e = (c.contains(g) & c.rlike(t)) if g else c.rlike(t)
+        else:
+            e = c.contains(t)
+        expr = e if expr is None else (expr | e)
+    return expr if expr is not None else F.lit(False)
+
+
+def attendee_terms(names: Iterable[str] = DEFAULT_NAMES) -> list[str]:
+    return list(TITLE_TERMS) + list(names)
+
+
 def reason_tokens(reason: Column | str) -> Column:
     """Tokens of a reason: split on commas and spaces, blanks removed."""
     return F.filter(F.split(_c(reason), TOKEN_SPLIT), lambda t: t != "")
@@ -55,7 +94,7 @@ def reason_tokens(reason: Column | str) -> Column:
 
 def has_doc_number(tokens: Column) -> Column:
     """A token starting with the document prefix followed by digits."""
-    return F.exists(tokens, lambda t: t.rlike(DOC_NUMBER_PATTERN))
+    return F.exists(tokens, lambda t: t.startswith(DOC_NUMBER_LOOSE) & t.rlike(DOC_NUMBER_PATTERN))
 
 
 def has_doc_number_loose(reason: Column | str) -> Column:
@@ -92,17 +131,17 @@ def policy_three(category: Column, reason: Column, tokens: Column,
     place without document number → hold; else reject.
     """
     n = F.size(tokens)
-    place = reason.rlike(ROOM_RE)
-    attendee = reason.rlike(attendee_re(names))
-    trip_place = reason.rlike(alt(trip_places))
+    place = match_any(reason, ROOM_TERMS)
+    attendee = match_any(reason, attendee_terms(names))
+    trip_place = match_any(reason, trip_places)
     docnum = has_doc_number(tokens)
     meeting = (F.when(n <= 1, _hold())
                .when(place & attendee & (n >= 3), _ok())
                .otherwise(_no(F.when(~place, F.lit(MSG_NO_PLACE))
                               .when(~attendee, F.lit(MSG_NO_ATTENDEE))
                               .otherwise(F.lit(MSG_THIN)))))
-    personal = (F.when(reason.rlike(PERSONAL_RE), _ok())
-                .when(reason.rlike(WORK_RE), _no(MSG_WORK_REASON))
+    personal = (F.when(match_any(reason, PERSONAL_TERMS), _ok())
+                .when(match_any(reason, WORK_TERMS), _no(MSG_WORK_REASON))
                 .otherwise(_hold()))
     other = (F.when(n <= 1, _hold())
              .when(_exists_outside(tokens, OTHER_GENERIC), _ok())
@@ -122,20 +161,20 @@ def policy_three(category: Column, reason: Column, tokens: Column,
 def _two_outcome(category: Column, reason: Column, tokens: Column, names: Iterable[str],
                  trip_places: Iterable[str], need_attendee: bool, docnum_route: bool,
                  lenient_trip: bool) -> Column:
-    place = reason.rlike(ROOM_RE)
-    att_re = attendee_re(names)
-    attendee = reason.rlike(att_re)
-    tp_re = alt(trip_places)
-    trip_place = reason.rlike(tp_re)
-    meeting_content = F.exists(tokens, lambda t: ~t.rlike(ROOM_RE) & ~t.rlike(att_re)
-                               & ~t.isin(*MEETING_GENERIC))
-    trip_content = F.exists(tokens, lambda t: ~t.rlike(tp_re) & ~t.isin(*TRIP_GENERIC))
+    att = attendee_terms(names)
+    trip_places = list(trip_places)
+    place = match_any(reason, ROOM_TERMS)
+    attendee = match_any(reason, att)
+    trip_place = match_any(reason, trip_places)
+    meeting_content = F.exists(tokens, lambda t: ~t.isin(*MEETING_GENERIC) & ~match_any(t, ROOM_TERMS)
+                               & ~match_any(t, att))
+    trip_content = F.exists(tokens, lambda t: ~t.isin(*TRIP_GENERIC) & ~match_any(t, trip_places))
     meeting_ok = place & meeting_content & (attendee if need_attendee else F.lit(True))
     meeting_why = F.when(~place, F.lit(MSG_NO_PLACE)).when(~meeting_content, F.lit(MSG_NO_CONTENT))
     if need_attendee:
         meeting_why = meeting_why.when(~attendee, F.lit(MSG_NO_ATTENDEE))
     if lenient_trip:
-        trip_ok = trip_place | reason.rlike(TRIP_WORD_RE)
+        trip_ok = trip_place | match_any(reason, TRIP_TERMS)
         trip_why = F.lit(MSG_NO_PLACE)
     else:
         trip_ok = trip_place & trip_content
@@ -167,10 +206,10 @@ def policy_lenient(category, reason, tokens, names=DEFAULT_NAMES, trip_places=TR
 
 def reason_class(reason: Column) -> Column:
     """Keyword class of a reason, first match wins: personal, meeting, trip, other work."""
-    return (F.when(reason.rlike(PERSONAL_RE), F.lit(CAT_PERSONAL))
-            .when(reason.rlike(alt(MEETING_TERMS)), F.lit(CAT_MEETING))
-            .when(reason.rlike(TRIP_WORD_RE), F.lit(CAT_TRIP))
-            .when(reason.rlike(alt(OTHER_TERMS)), F.lit(CAT_OTHER)))
+    return (F.when(match_any(reason, PERSONAL_TERMS), F.lit(CAT_PERSONAL))
+            .when(match_any(reason, MEETING_TERMS), F.lit(CAT_MEETING))
+            .when(match_any(reason, TRIP_TERMS), F.lit(CAT_TRIP))
+            .when(match_any(reason, OTHER_TERMS), F.lit(CAT_OTHER)))
 
 
 def policy_match(category, reason, tokens=None, names=DEFAULT_NAMES, trip_places=TRIP_PLACES) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskpass.functions.text import tokens
+from deskpass.operators.layout import spread
 from deskpass.schema import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
 
@@ -107,13 +108,16 @@ def chunk_separators(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf): raw counts of each token per document."""
-    return (docs.select(key, F.explode(tokens(text)).alias("term"))
+    return (spread(docs.select(key, text), key).select(key, F.explode(tokens(text)).alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf) with smoothed idf = ln((1+n)/(1+df)) + 1."""
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Documents in which the term occurs. Written over ``tf`` (not count(*)) so this
+    # branch keeps the same plan as the tf branch and Spark reuses one
+    # tokenise-and-count exchange for both instead of tokenising twice.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return df.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 

@@ -11,7 +11,7 @@ from deskpass.operators.relational import union_all
 from deskpass.plans.registry import register
 from deskpass.plans.requests import requests_with_category
 from deskpass.plans.sessions import PAIRS_SQL, exchanges
-from deskpass.plans.sqlbits import CATS, with_views
+from deskpass.plans.sqlbits import CATS, POLICY_SQL, with_views
 from deskpass.schema import BATCH_LOG, CATEGORIES, REQUESTS
 from deskpass.session import scratch_path
 from deskpass.sources import files as FS
@@ -76,25 +76,40 @@ def _batch_log(spark, d):
                       F.lit("2024-01-01 09:00:00").alias("saved_at"))
 
 
-@register("S4_load_or_create_log")
+def _log_sql(extra: str = "") -> str:
+    return with_views(f"""
+select cast(request_id as varchar) as row_id, ({POLICY_SQL['lenient']()}).decision as decision{extra} from r""",
+                      rule_view=True)
+
+
+def _log_sql_full() -> str:
+    return with_views(f"""
+, dd as (select request_id, category, {POLICY_SQL['lenient']()} as res from r)
+select cast(request_id as varchar) as row_id, category, res.decision as decision,
+  res.reject_reason as reject_reason from dd""", rule_view=True)
+
+
+@register("S4_load_or_create_log", _log_sql(", cast(0 as bigint) as rows_before"))
 def s4(spark, d):
     base = scratch_path(spark, "s4")
     empty = FS.load_or_create_log(spark, f"{base}/log", BATCH_LOG)
     n0 = empty.count()
     FS.save_log(empty.unionByName(_batch_log(spark, d)), f"{base}/log")
-    again = spark.read.schema(BATCH_LOG).option("header", True).option("multiLine", True).csv(f"{base}/log")
-    return again.select("row_id", "decision", F.lit(n0).alias("rows_before"))
+    again = FS.read_log(spark, f"{base}/log")
+    return again.select("row_id", "decision", F.lit(n0).cast("long").alias("rows_before"))
 
 
-@register("S5_save_log_csv")
+@register("S5_save_log_csv", _log_sql_full())
 def s5(spark, d):
     base = scratch_path(spark, "s5")
     FS.save_log(_batch_log(spark, d), f"{base}/v1")
-    back = spark.read.schema(BATCH_LOG).option("header", True).option("multiLine", True).csv(f"{base}/v1")
+    back = FS.read_log(spark, f"{base}/v1")
     return back.select("row_id", "category", "decision", "reject_reason")
 
 
-@register("S6_append_decisions")
+@register("S6_append_decisions", with_views(f"""
+, dd as (select request_id, ({POLICY_SQL['three']()}).decision as decision from r)
+select * from dd union all select * from dd""", rule_view=True))
 def s6(spark, d):
     base = scratch_path(spark, "s6")
     v = requests_with_category(spark, d, rules=True)

@@ -77,9 +77,9 @@ from r""", rule_view=True))
 def r6(spark, d):
     v = requests_with_category(spark, d, rules=True)
     r = F.col("reason")
-    return v.select("request_id", r.rlike(RU.ROOM_RE).alias("has_place"),
-                    r.rlike(RU.attendee_re()).alias("has_attendee"),
-                    r.rlike(RU.PERSONAL_RE).alias("has_personal"))
+    return v.select("request_id", RU.match_any(r, RU.ROOM_TERMS).alias("has_place"),
+                    RU.match_any(r, RU.attendee_terms()).alias("has_attendee"),
+                    RU.match_any(r, PERSONAL_TERMS).alias("has_personal"))
 
 
 @register("R7_missing_reason_hold", with_views(f"""

@@ -14,6 +14,17 @@ from deskpass.functions.render import to_json_line
 from deskpass.schema import BATCH_LOG, CONVERSATION_LOG, REQUESTS
 
 
+# CSV dialect of the decision log: header row, nulls as \N so that an empty
+# reject reason ('') and a missing one (null) survive a round trip, quoted
+# multi-line fields.
+CSV_OPTIONS = {"header": "true", "nullValue": "\\N", "multiLine": "true", "escape": '"'}
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType = BATCH_LOG) -> DataFrame:
+    """Read a decision log written by ``save_log``."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -67,13 +78,15 @@ def load_or_create_log(spark: SparkSession, path: str, schema: T.StructType = BA
                        fmt: str = "csv") -> DataFrame:
     """The decision log at ``path``, or an empty one with the log's columns."""
     if _exists(spark, path):
-        return spark.read.schema(schema).option("header", True).format(fmt).load(path)
+        if fmt == "csv":
+            return read_log(spark, path, schema)
+        return spark.read.schema(schema).format(fmt).load(path)
     return spark.createDataFrame([], schema)
 
 
 def save_log(df: DataFrame, path: str) -> str:
     """Write the log as CSV with a header to a new folder and return it."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
     return path
 
 

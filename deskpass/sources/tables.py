@@ -54,7 +54,8 @@ def request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     status. Nulls, blanks and a trailing-slash style are produced by id rules so
     every null path is exercised.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    from deskpass.operators.layout import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id", "left")
     k = F.col("doc_id")
