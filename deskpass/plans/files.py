@@ -169,3 +169,23 @@ def s13(spark, d):
      .csv(f"{base}/docs/latin1"))
     ok, bad = FS.read_with_errors(spark, f"{base}/docs", "*.*")
     return ok.select("path", F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
+@register("S10_write_predictions", with_views("""
+, p as (select doc_id, case when ('0x' || substr(md5(cast(doc_id as varchar)), 1, 15))::bigint % 100 < 10
+          then 1 - quality else quality end as prediction from labels)
+select r.request_id, r.reason, r.status as actual_status,
+  case p.prediction when 1 then '승인됨' when 0 then '거절됨' end as predicted_status
+from p join r on p.doc_id = r.request_id"""))
+def s10(spark, d):
+    """Predictions table (reason, actual, predicted) written and read back."""
+    from deskpass.functions.labels import decode_status
+    from deskpass.operators.relational import join_back
+    from deskpass.plans.metrics import fixed_predictions
+    base = scratch_path(spark, "s10")
+    preds = fixed_predictions(spark, d).select(F.col("doc_id").alias("request_id"), "prediction")
+    table_ = join_back(preds, request_view(spark, d), "request_id").select(
+        "request_id", "reason", F.col("status").alias("actual_status"),
+        decode_status("prediction").alias("predicted_status"))
+    FS.append_decisions(table_, f"{base}/predictions")
+    return spark.read.parquet(f"{base}/predictions")
