@@ -25,13 +25,28 @@ def chunk_windows(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
 
     Starts run 1, 1+step, … while <= max(1, length - overlap), so the windows
     cover the whole text. Adds ``chunk_no`` (0-based), ``start`` (1-based) and ``out``.
+
+    Linear in the text length: one regex pass cuts the text into ``step``-
+    character pieces, and window j is pieces j … j+m-1 plus the head of the
+    next piece. (``substring`` at a character offset walks the UTF-8 bytes
+    from the start each time, which makes per-window substrings quadratic —
+    minutes for a multi-megabyte text.)
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(F.col(text)) - overlap),
-                        F.lit(size - overlap))
-    exploded = df.select("*", F.posexplode(starts).alias("chunk_no", "start"))
-    return exploded.withColumn(out, F.substring(F.col(text), F.col("start"), size))
+    step = size - overlap
+    m, r = divmod(size, step)
+    t = F.col(text)
+    last = F.floor((F.greatest(F.lit(1), F.char_length(t) - overlap) - 1) / step)
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    d = df.select("*", pieces.alias("__pieces"))
+    d = d.select("*", F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_no", "__j"))
+    body = F.array_join(F.slice("__pieces", F.col("__j") + 1, F.lit(m)), "")
+    if r:
+        head = F.substring(F.get("__pieces", F.col("__j") + m), 1, r)
+        body = F.concat(body, F.coalesce(head, F.lit("")))
+    return (d.withColumn("start", (F.col("__j") * step + 1).cast("int"))
+            .withColumn(out, body).drop("__pieces", "__j"))
 
 
 # --- T2: separator-aware splitting -----------------------------------------

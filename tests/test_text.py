@@ -26,6 +26,25 @@ def test_windows_cover_text(spark):
         assert covered == set(range(len(t)))
 
 
+def test_windows_match_slices_for_any_overlap(spark):
+    """Windows equal Python slices (code points) for overlaps below, at and above the step,
+    across newlines, CR/LF, Hangul and characters outside the BMP; a null text gives one null chunk."""
+    unit = "가나 다\r\nab😀c\n\n"
+    texts = ["", "x", unit * 3, unit * 130, "😀" * 2345, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in [(1000, 200), (1000, 50), (1000, 0), (1000, 600), (7, 3), (10, 9)]:
+        step = size - overlap
+        got = {(r.doc_id, r.chunk_no): (r.start, r.chunk) for r in
+               TX.chunk_windows(df, "text", size, overlap).select("doc_id", "chunk_no", "start", "chunk").collect()}
+        want = {}
+        for i, t in enumerate(texts):
+            n = len(t) if t is not None else None
+            last = max(1, n - overlap) if n is not None else 1
+            for j, s in enumerate(range(1, last + 1, step)):
+                want[(i, j)] = (s, t[s - 1:s - 1 + size] if t is not None else None)
+        assert got == want, (size, overlap)
+
+
 def test_separator_chunks():
     text = ("para one line one\nline two " * 40 + "\n\n" + "word " * 500 + "x" * 2500)
     chunks = TX.split_recursive(text, 300, 50)
