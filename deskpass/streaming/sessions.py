@@ -36,14 +36,21 @@ def _keep_last(n: int, idle_ms: int):
         if state.exists:
             t, q, a = state.get
             turns, qs, ans = list(t), list(q), list(a)
+        # Arrow chunks of a busy session arrive one at a time; keep only the
+        # last n after each, so memory stays at n + one chunk however many
+        # rows the session has in this trigger.
         for pdf in pdfs:
+            if len(pdf) > n:
+                pdf = pdf.nlargest(n, "turn")
             turns += pdf["turn"].tolist()
             qs += pdf["question"].tolist()
             ans += pdf["answer"].tolist()
-        order = sorted(range(len(turns)), key=lambda i: turns[i])[-n:]
-        turns = [int(turns[i]) for i in order]
-        qs = [qs[i] for i in order]
-        ans = [ans[i] for i in order]
+            order = sorted(range(len(turns)), key=lambda i: turns[i])[-n:]
+            turns = [int(turns[i]) for i in order]
+            qs = [qs[i] for i in order]
+            ans = [ans[i] for i in order]
+        if not turns:
+            return
         state.update((turns, qs, ans))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
