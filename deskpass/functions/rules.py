@@ -230,29 +230,47 @@ _POLICY_FUNCS = {
 }
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def policy_column(policy: str, category: str, reason: str, tokens: str,
+                  names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> Column:
+    """The decision struct of ``policy`` over the named columns.
+
+    A policy is an unresolved expression of several hundred nodes, and every
+    node is one call into the JVM to build; the tree does not depend on any
+    DataFrame, so it is built once per JVM and shared by every plan.
+    """
+    from pyspark import SparkContext
+    key = (id(SparkContext._gateway), policy, category, reason, tokens, tuple(names), tuple(trip_places))
+    col = _BUILT.get(key)
+    if col is None:
+        col = _POLICY_FUNCS[policy](F.col(category), F.col(reason), F.col(tokens), names=list(names),
+                                    trip_places=list(trip_places))
+        _BUILT[key] = col
+    return col
+
+
 def decide(df: DataFrame, policy: str = "three", category: str = "category", reason: str = "reason",
            out: str = "decision", reason_out: str | None = "reject_reason",
            names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> DataFrame:
     """Apply one policy to a request table; adds ``out`` (and ``reason_out``)."""
-    fn = _POLICY_FUNCS[policy]
     tok = f"__tok_{out}"
     res = f"__res_{out}"
     df = df.withColumn(tok, reason_tokens(reason))
-    df = df.withColumn(res, fn(F.col(category), F.col(reason), F.col(tok), names=list(names),
-                               trip_places=list(trip_places)))
-    df = df.withColumn(out, F.col(f"{res}.decision"))
+    df = df.withColumn(res, policy_column(policy, category, reason, tok, names, trip_places))
+    outs = {out: F.col(f"{res}.decision")}
     if reason_out:
-        df = df.withColumn(reason_out, F.col(f"{res}.reject_reason"))
-    return df.drop(tok, res)
+        outs[reason_out] = F.col(f"{res}.reject_reason")
+    return df.withColumns(outs).drop(tok, res)
 
 
 def decide_all(df: DataFrame, category: str = "category", reason: str = "reason",
                names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> DataFrame:
     """One decision column per policy (``d_<policy>``), tokens split once."""
     df = df.withColumn("__tok", reason_tokens(reason))
-    for p, fn in _POLICY_FUNCS.items():
-        df = df.withColumn(f"d_{p}", fn(F.col(category), F.col(reason), F.col("__tok"), names=list(names),
-                                        trip_places=list(trip_places)).getField("decision"))
+    df = df.withColumns({f"d_{p}": policy_column(p, category, reason, "__tok", names, trip_places)
+                         .getField("decision") for p in _POLICY_FUNCS})
     return df.drop("__tok")
 
 
