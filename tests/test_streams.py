@@ -31,3 +31,47 @@ def test_session_memory_equals_batch(spark):
     stream = QUERIES["ST4_session_memory_stream"](spark, SF_SMALL)
     batch = QUERIES["W2_context_text"](spark, SF_SMALL).select(*stream.columns)
     assert _set(stream) == _set(batch)
+
+
+class _State:
+    """Stand-in for ``GroupState`` with the members the handler uses."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self._value = False, False, None
+
+    @property
+    def get(self):
+        return self._value
+
+    def update(self, value):
+        self.exists, self._value = True, value
+
+    def setTimeoutDuration(self, ms):
+        pass
+
+    def remove(self):
+        self.exists, self._value = False, None
+
+
+def test_session_memory_keeps_last_n_of_a_busy_session():
+    """One session with many rows in one trigger, in shuffled Arrow chunks: only the
+    last five turns are kept, and a later trigger continues from the state."""
+    import random
+
+    import pandas as pd
+
+    from deskpass.streaming.sessions import _keep_last
+
+    turns = list(range(0, 20_000, 2))
+    random.Random(7).shuffle(turns)
+    rows = pd.DataFrame({"turn": turns, "question": [f"q{t}" for t in turns],
+                         "answer": [f"a{t}" for t in turns]})
+    chunks = [rows.iloc[i:i + 1024] for i in range(0, len(rows), 1024)]
+    handler, state = _keep_last(5, None), _State()
+    out = list(handler((1,), iter(chunks), state))
+    assert len(out) == 1 and out[0]["n_kept"][0] == 5 and out[0]["last_turn"][0] == 19_998
+    assert list(state.get[0]) == [19_990, 19_992, 19_994, 19_996, 19_998]
+    more = pd.DataFrame({"turn": [20_000, 5], "question": ["q+", "q-"], "answer": ["a+", "a-"]})
+    out = list(handler((1,), iter([more]), state))
+    assert list(state.get[0]) == [19_992, 19_994, 19_996, 19_998, 20_000]
+    assert out[0]["context"][0].splitlines()[-1] == "[대화 5] 질문: q+, 답변: a+"
