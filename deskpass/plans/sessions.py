@@ -8,6 +8,9 @@ from deskpass.operators import sessions as S
 from deskpass.plans.registry import register
 from deskpass.sources.tables import table
 
+# Turns joined per run before a conversation's runs are joined.
+TURN_RUN = 1024
+
 PAIRS_SQL = """select q.conv_id, q.turn, q.text as question, a.text as answer
 from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
 where q.role = 'user' and a.role = 'assistant'"""
@@ -60,4 +63,5 @@ def w6(spark, d):
 @register("A6_join_turns", """select conv_id, string_agg(text, chr(10) order by turn) as document
 from conversations group by conv_id""")
 def a6(spark, d):
-    return S.ordered_join(table(spark, d, "conversations"), ["conv_id"], "turn", "text", "\n", "document")
+    return S.ordered_join(table(spark, d, "conversations"), ["conv_id"], "turn", "text", "\n", "document",
+                          block=TURN_RUN)
