@@ -47,9 +47,11 @@ def char_length(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """Replace symbols with spaces, collapse runs of whitespace, strip the ends."""
-    no_symbols = F.regexp_replace(_c(c), r"[^\p{L}\p{N}\s]", " ")
-    return F.trim(F.regexp_replace(no_symbols, r"\s+", " "))
+    """Replace symbols with spaces, collapse runs of whitespace, strip the ends.
+
+    Symbols and whitespace together are exactly the characters that are not
+    letters or digits, so one pass turns each run of them into one space."""
+    return F.trim(F.regexp_replace(_c(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def tokens(c: Column | str) -> Column:

@@ -220,7 +220,9 @@ def p22(spark, d):
 @register("P23_clean_text", "select doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', ' ', 'g'), "
           "'\\s+', ' ', 'g')) as clean from documents")
 def p23(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+    from deskpass.operators.layout import spread
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", X.clean_text("text").alias("clean"))
 
 
 @register("P24_try_parse", "select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, "

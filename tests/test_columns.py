@@ -88,3 +88,11 @@ def test_recent_array_short_arrays(spark):
 
 def test_nfkc(spark):
     assert _col(spark, ["ｆｕｌｌ　ｗｉｄｔｈ", None], X.nfkc("c")) == ["full width", None]
+
+
+def test_clean_text_symbols_and_whitespace(spark):
+    """Symbols become spaces, every whitespace run (tab, CR/LF, vertical tab) one space, ends stripped;
+    letters and digits of any script stay, characters outside the BMP included."""
+    values = ["  Hello,\tworld!! ", "가나\r\n\x0b다 -- 123", "a😀b", "𝐀𝐁 x", "...", None]
+    got = _col(spark, values, X.clean_text("c"))
+    assert got == ["Hello world", "가나 다 123", "a b", "𝐀𝐁 x", "", None]
