@@ -8,10 +8,19 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "deskpass", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench. On a cluster, use the cluster's session instead."""
+def local_session(cores: int | str = "*", app: str = "deskpass", shuffle_partitions: int = 8,
+                  event_log_dir: str | None = None) -> SparkSession:
+    """Session for tests and the bench. On a cluster, use the cluster's session instead.
+
+    ``event_log_dir`` turns on Spark's event log there (the bench reads shuffle
+    bytes from it; the web UI stays off)."""
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log_dir)
+                   .config("spark.eventLog.compress", "false"))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
