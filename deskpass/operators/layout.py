@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
     """Hash-partition a narrow input by ``key`` so CPU-heavy per-row work uses every core.
 
-    Only acts when the input has fewer partitions than ``per_core`` × the
-    cluster's default parallelism (a few large files); a wide input, as a
-    large table always is, is returned unchanged, so no shuffle is added at
-    scale. Partitioning by the document key also satisfies later per-document
-    aggregations and windows, which then need no exchange of their own.
+    Only acts when the input has fewer partitions than the cluster has cores
+    (a few large files: the local test tables have 4 row groups), and then
+    cuts it into ``per_core`` × cores partitions. An input that can already
+    occupy every core, as any large table does, is returned unchanged, so no
+    shuffle is added at scale. Partitioning by the document key also satisfies
+    later per-document aggregations and windows, which then need no exchange
+    of their own.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
+    target = cores * per_core
     return df.repartition(target, key) if key else df.repartition(target)
