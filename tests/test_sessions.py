@@ -12,3 +12,13 @@ def test_ordered_join_in_runs_equals_one_step(spark):
     assert runs == flat
     assert flat[1] == "\n".join(f"t{t}" for t in range(2000) if t % 7)
     assert flat[2] == "u3\nu5\nu9" and flat[3] is None
+
+
+def test_spread_leaves_wide_inputs_alone(spark):
+    """No shuffle is added to an input that can already occupy every core."""
+    from deskpass.operators.layout import spread
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, cores)
+    assert spread(wide, "id") is wide
+    narrow = spark.range(0, 1000, 1, 1)
+    assert spread(narrow, "id").rdd.getNumPartitions() == 2 * cores
