@@ -1,5 +1,5 @@
-"""Streaming checks: each stream is fed the table cut into files, restarted once
-from its checkpoint, and must equal the batch result (ST1–ST6)."""
+"""Streaming checks: each stream is fed the table slice by slice, restarted from
+its checkpoint after every slice, and must equal the batch result (ST1–ST6)."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ from deskpass.streaming import sessions as SS
 from deskpass.streaming import indexing as SI
 
 
-def _run_in_two_parts(spark, parts, feed, start):
-    """Feed the first half, run to the end, then the rest and run again (restart from checkpoint)."""
-    half = max(1, len(parts) // 2)
-    SD.feed_files(parts[:half], feed)
-    start().awaitTermination()
-    SD.feed_files(parts[half:], feed)
-    start().awaitTermination()
+def _run_per_slice(spark, parts, feed, start):
+    """Feed one slice, run the stream to the end (``AvailableNow``, no file cap: the
+    whole slice is one micro-batch), then the next slice, restarting from the
+    checkpoint each time."""
+    for part in parts:
+        SD.feed_files([part], feed)
+        start().awaitTermination()
 
 
 def _arrivals(spark, d):
@@ -33,8 +33,8 @@ def _st1(spark, d, replay: bool):
     feed, sink, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
     arrivals = _arrivals(spark, d)
     parts = SD.slices(arrivals, "request_id", SD.key_bounds(arrivals, "request_id", 4))
-    stream = lambda: spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    _run_in_two_parts(spark, parts, feed, lambda: SD.decide_stream(stream(), sink, ck))
+    stream = lambda: spark.readStream.schema(arrivals.schema).parquet(feed)
+    _run_per_slice(spark, parts, feed, lambda: SD.decide_stream(stream(), sink, ck))
     if replay:  # a retried micro-batch rewrites only its own partition
         first = spark.read.parquet(feed).join(
             spark.read.parquet(sink).filter("batch_id = 0").select("request_id"), "request_id", "left_semi")
@@ -58,8 +58,8 @@ def st2(spark, d):
     feed, sink, rej, ck = f"{base}/in", f"{base}/out", f"{base}/rejects", f"{base}/ck"
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     parts = SD.slices(ev, "event_id", SD.key_bounds(ev, "event_id", 4))
-    stream = lambda: spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    _run_in_two_parts(spark, parts, feed, lambda: SD.skip_rejected_stream(spark, stream(), sink, rej, ck))
+    stream = lambda: spark.readStream.schema(ev.schema).parquet(feed)
+    _run_per_slice(spark, parts, feed, lambda: SD.skip_rejected_stream(spark, stream(), sink, rej, ck))
     return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
@@ -71,12 +71,12 @@ def st4(spark, d):
     parts = SD.slices(ex, "turn", [2, 4])
 
     def start():
-        s = spark.readStream.schema(ex.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        s = spark.readStream.schema(ex.schema).parquet(feed)
         mem = SS.session_memory(s)
         return (mem.writeStream.foreachBatch(lambda b, i: SD.write_partition(b, sink, i))
                 .option("checkpointLocation", ck).trigger(availableNow=True).start())
 
-    _run_in_two_parts(spark, parts, feed, start)
+    _run_per_slice(spark, parts, feed, start)
     out = spark.read.parquet(sink)
     last = out.groupBy("conv_id").agg(F.max_by(F.struct("n_kept", "context"), "batch_id").alias("s"))
     return last.select("conv_id", F.col("s.n_kept").alias("n_kept"), F.col("s.context").alias("context"))
@@ -113,7 +113,7 @@ def st6(spark, d):
     rows = labelled(spark, d).filter(F.col("label").isNotNull() & F.col("model_text").isNotNull())
     train = rows.filter(~F.col("is_test")).select("request_id", "model_text", "label")
     parts = SD.slices(train, "request_id", SD.key_bounds(train, "request_id", 3))
-    stream = lambda: spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    stream = lambda: spark.readStream.schema(train.schema).parquet(feed)
     SD.feed_files(parts, feed)
     SI.collect_training(stream(), tbl, ck)
     model, _ = SI.refit(spark, tbl, ML.text_forest("model_text", "label", num_trees=50), models, 1)
