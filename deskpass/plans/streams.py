@@ -14,6 +14,9 @@ from deskpass.streaming import sessions as SS
 from deskpass.streaming import indexing as SI
 
 
+DOCS_PER_FILE = 1000
+
+
 def _run_per_slice(spark, parts, feed, start):
     """Feed one slice, run the stream to the end (``AvailableNow``, no file cap: the
     whole slice is one micro-batch), then the next slice, restarting from the
@@ -87,7 +90,10 @@ def st5(spark, d):
     base = scratch_path(spark, "st5")
     folder, state = f"{base}/docs", f"{base}/state"
     docs = table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(8, "doc_id").select("text").write.text(folder)
+    # A corpus folder whose file count grows with the table (about
+    # DOCS_PER_FILE documents per file), so no file holds a fixed share of it.
+    n_files = max(8, -(-docs.count() // DOCS_PER_FILE))
+    docs.repartition(n_files, "doc_id").select("text").write.text(folder)
     SI.index_changed(spark, folder, state, 1)
     # touch one file: a newer modification time marks it as changed
     jvm = spark.sparkContext._jvm
