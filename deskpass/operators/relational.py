@@ -30,10 +30,19 @@ def valid_categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
 
 
-def keep_valid(df: DataFrame, valid: DataFrame, col: str = "category") -> DataFrame:
-    """Semi join to a table of valid values (fixed four rows → broadcast)."""
-    v = valid.withColumnRenamed(valid.columns[0], "__valid")
-    return df.join(F.broadcast(v), F.col(col) == F.col("__valid"), "left_semi")
+def keep_valid(df: DataFrame, valid: DataFrame, col: str = "category",
+               broadcast_rows: int = 100_000) -> DataFrame:
+    """Semi join to a table of valid values.
+
+    The values table is broadcast only after a count shows it is small (the
+    four-category table always is); a larger one takes a plain join. Without
+    the broadcast, a semi join on a column of a few distinct values would
+    shuffle every row into a few partitions.
+    """
+    v = valid.select(F.col(valid.columns[0]).alias("__valid"))
+    if v.count() <= broadcast_rows:
+        v = F.broadcast(v)
+    return df.join(v, F.col(col) == F.col("__valid"), "left_semi")
 
 
 def append_rows(log: DataFrame, new: DataFrame) -> DataFrame:

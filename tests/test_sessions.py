@@ -22,3 +22,12 @@ def test_spread_leaves_wide_inputs_alone(spark):
     assert spread(wide, "id") is wide
     narrow = spark.range(0, 1000, 1, 1)
     assert spread(narrow, "id").rdd.getNumPartitions() == 2 * cores
+
+
+def test_keep_valid_same_with_and_without_broadcast(spark):
+    from deskpass.operators import relational as OP
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", None, "c", "a"])], "id long, category string")
+    valid = spark.createDataFrame([("a",), ("c",), ("a",)], "v string")
+    small = sorted(r.id for r in OP.keep_valid(df, valid).collect())
+    large = sorted(r.id for r in OP.keep_valid(df, valid, broadcast_rows=0).collect())
+    assert small == large == [0, 3, 4]
