@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,11 +41,16 @@ def local_session(cores: int | str = "*", app: str = "deskpass", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (tests, a laptop)
-    is a scratch folder created and set.
+    The cluster's setting always wins. Only in local mode (tests, a laptop),
+    where driver and executors are one process, is a scratch folder created
+    when it is unset; on a cluster a machine-local folder would lose files, so
+    that raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="deskpass-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,16 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/deskpass/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+    """A new folder name under the shared checkpoint dir for written intermediate tables.
 
-
-_counter = _count()
+    The name holds a random UUID, so runs, drivers and containers that share the
+    checkpoint dir never meet in one folder."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/deskpass/{name}-{uuid.uuid4().hex}"
