@@ -26,3 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.quality import quality_verdicts
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_anchors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.simhash import simhash_components
+    return simhash_components(table(spark, sf_dir, "documents"))
