@@ -32,3 +32,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"))
