@@ -38,3 +38,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_wrapper_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.wrappers import extract_articles
+    return extract_articles(table(spark, sf_dir, "pages"))
