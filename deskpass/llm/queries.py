@@ -44,3 +44,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.wrappers import extract_articles
     return extract_articles(table(spark, sf_dir, "pages"))
+
+
+@query("op10_segmentation_langid")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
