@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,52 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.langid import identify
     return identify(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    from deskpass.llm.decontam import LEAST, LITERALS, UNITS, WORD_PATTERN
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    k = range(5)
+
+    def windows(table_name: str, key: str) -> str:
+        return f"""
+  select {key}, txt, at,
+    {", ".join(f"v[at + {i + 1}] as v{i}" for i in k)}, {", ".join(f"s[at + {i + 1}] as s{i}" for i in k)}
+  from (select *, unnest(range(0, len(v) - 4)) as at from (
+    select {key}, txt, list_transform(t, x -> lower(x)) as v,
+      list_transform(t, x -> case when regexp_matches(x[1], '\\p{{N}}') then 1
+        when lower(x) in ({units}) then 2 when x[1] <> lower(x[1]) then 3 else 0 end) as s
+    from (select distinct {key}, text as txt, regexp_extract_all(text, '{WORD_PATTERN}') as t from {table_name})) where len(v) >= 5)"""
+
+    def template() -> str:
+        return "concat_ws(' ', " + ", ".join(f"case s{i} when 0 then v{i} else '#' || s{i} end" for i in k) + ")"
+
+    literals = " + ".join(f"(s{i} = 0)::int" for i in k)
+    slots = " union all ".join(
+        f"select doc_id, dtxt, item_id, itxt, shift, item_at, item_at + {i} as place, i{i} as mine, d{i} as theirs from hits where z{i} > 0" for i in k)
+    return f"""
+with dw as (select *, {template()} as w from ({windows('documents', 'doc_id')}) where {literals} >= {LITERALS}),
+iw0 as (select *, {template()} as w from ({windows('benchmark', 'item_id')}) where {literals} >= {LITERALS}),
+iw as (select *, count(*) over (partition by item_id, txt) as n_windows from (
+  select *, row_number() over (partition by item_id, txt, w order by at) as nth from iw0) where nth = 1),
+hits as (select d.doc_id, d.txt as dtxt, i.item_id, i.txt as itxt, i.n_windows, i.at as item_at, d.at - i.at as shift,
+  {", ".join(f"d.v{i} as d{i}, i.v{i} as i{i}, i.s{i} as z{i}" for i in k)} from dw d join iw i using (w)),
+slots as ({slots}),
+votes as (select doc_id, dtxt, item_id, itxt, shift, mine, theirs, count(distinct place) as n, min(place) as first_place
+  from slots group by all),
+usual as (select * from (select *, row_number() over (partition by doc_id, dtxt, item_id, itxt, shift, mine
+  order by n desc, first_place) as r from votes) where r = 1),
+odd as (select distinct s.doc_id, s.dtxt, s.item_id, s.itxt, s.shift, s.item_at from slots s join usual u
+  using (doc_id, dtxt, item_id, itxt, shift, mine) where s.theirs <> u.theirs),
+good as (select h.* from hits h anti join odd using (doc_id, dtxt, item_id, itxt, shift, item_at))
+select distinct doc_id, item_id, n_windows, n_matched, coverage from (
+  select doc_id, dtxt, item_id, itxt, max(n_windows) as n_windows, count(distinct item_at) as n_matched,
+    round(count(distinct item_at) / max(n_windows), 6) as coverage
+  from good group by doc_id, dtxt, item_id, itxt) where n_matched >= {LEAST} * n_windows"""
+
+
+@query("op9_template_decontamination", _op9_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.decontam import contaminated
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "coverage").distinct()
