@@ -59,11 +59,11 @@ def _op9_sql() -> str:
 
     def windows(table_name: str, key: str) -> str:
         return f"""
-  select {key}, txt, at,
-    {", ".join(f"v[at + {i + 1}] as v{i}" for i in k)}, {", ".join(f"s[at + {i + 1}] as s{i}" for i in k)}
-  from (select *, unnest(range(0, len(v) - 4)) as at from (
-    select {key}, txt, list_transform(t, x -> lower(x)) as v,
-      list_transform(t, x -> case when regexp_matches(x[1], '\\p{{N}}') then 1
+  select {key}, txt, pos,
+    {", ".join(f"v[pos + {i + 1}] as v{i}" for i in k)}, {", ".join(f"s[pos + {i + 1}] as s{i}" for i in k)}
+  from (select *, unnest(range(0, len(v) - 4)) as pos from (
+    select {key}, txt, list_transform(t, lambda x: lower(x)) as v,
+      list_transform(t, lambda x: case when regexp_matches(x[1], '\\p{{N}}') then 1
         when lower(x) in ({units}) then 2 when x[1] <> lower(x[1]) then 3 else 0 end) as s
     from (select distinct {key}, text as txt, regexp_extract_all(text, '{WORD_PATTERN}') as t from {table_name})) where len(v) >= 5)"""
 
@@ -77,8 +77,8 @@ def _op9_sql() -> str:
 with dw as (select *, {template()} as w from ({windows('documents', 'doc_id')}) where {literals} >= {LITERALS}),
 iw0 as (select *, {template()} as w from ({windows('benchmark', 'item_id')}) where {literals} >= {LITERALS}),
 iw as (select *, count(*) over (partition by item_id, txt) as n_windows from (
-  select *, row_number() over (partition by item_id, txt, w order by at) as nth from iw0) where nth = 1),
-hits as (select d.doc_id, d.txt as dtxt, i.item_id, i.txt as itxt, i.n_windows, i.at as item_at, d.at - i.at as shift,
+  select *, row_number() over (partition by item_id, txt, w order by pos) as nth from iw0) where nth = 1),
+hits as (select d.doc_id, d.txt as dtxt, i.item_id, i.txt as itxt, i.n_windows, i.pos as item_at, d.pos - i.pos as shift,
   {", ".join(f"d.v{i} as d{i}, i.v{i} as i{i}, i.s{i} as z{i}" for i in k)} from dw d join iw i using (w)),
 slots as ({slots}),
 votes as (select doc_id, dtxt, item_id, itxt, shift, mine, theirs, count(distinct place) as n, min(place) as first_place
