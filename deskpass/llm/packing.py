@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
     path = vocabulary or default_vocabulary()
     end = np.array([END_ID], "<u4").tobytes()
     narrow = docs.select(col(id_col).alias("doc_id"), col(text).cast("string").alias("t"))
-    schema = (narrow.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long")
+    schema = (narrow.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long")
               .add("ids_crc32", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
