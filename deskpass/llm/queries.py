@@ -99,3 +99,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.decontam import contaminated
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "n_matched", "coverage").distinct()
+
+
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.surrogates import replace_pii
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, count_col="n_entities")
