@@ -106,3 +106,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.surrogates import replace_pii
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_pii(docs, count_col="n_entities")
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.licenses import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+with rows as (
+  select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes,
+    ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
+sized as (
+  select d, h >> (60 - d) as p, sum(n_bytes)::bigint as shard_bytes, count(*) as shard_rows
+  from rows, range(0, 41) t(d) group by all having sum(n_bytes) <= {limit} or count(*) = 1),
+first as (
+  select r.doc_id, r.n_bytes, min(s.d) as depth from rows r, sized s where s.p = r.h >> (60 - s.d) group by all)
+select f.doc_id, f.n_bytes, substr(lpad(bin(r.h), 60, '0'), 1, f.depth::int) as shard, f.depth::int as depth,
+  s.shard_rows, s.shard_bytes, s.shard_bytes > {limit} as oversize
+from first f join rows r using (doc_id, n_bytes) join sized s on s.d = f.depth and s.p = r.h >> (60 - f.depth)
+"""
+
+
+def _op3_sql() -> str:
+    from deskpass.llm.sharding import LIMIT
+    return OP3_SQL.format(limit=LIMIT)
+
+
+@query("op3_extendible_shards", _op3_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.sharding import assign_shards
+    return assign_shards(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
