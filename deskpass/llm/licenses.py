@@ -12,8 +12,8 @@ an alignment of the least coverage can't do without: cues are enough of the temp
 words, rarest among templates first, that ``least`` of it can't avoid them all.
 
 Defined cases: null and empty texts match nothing; several occurrences give one row
-each, from the best window on, without overlaps within a template; equal coverage takes
-the earlier window; repeated rows give repeated results; an empty table gives no rows.
+each, without overlaps: the most aligned words win, then the higher coverage, the
+earlier place, the template's name; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from deskpass.llm.common import bounded_batches, col, need
 
 LEAST = 0.8
+SHORT = 10   # notices of fewer words must be covered whole: one word may tell two licences apart
 SLACK = 1.5  # window length in template lengths
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -137,7 +138,7 @@ def templates(texts: dict[str, str], least: float = LEAST) -> list[Template]:
     for name, ws in words.items():
         if not ws:
             continue
-        needed = max(1, -(-round(least * len(ws) * 1e6) // 10 ** 6))
+        needed = len(ws) if len(ws) < SHORT else -(-round(least * len(ws) * 1e6) // 10 ** 6)
         counts, cues, avoided = Counter(ws), set(), len(ws)
         # long words that few templates have, until what is left can't reach the coverage
         for w in sorted(counts, key=lambda w: (spread[w], -len(w), w)):
@@ -214,8 +215,14 @@ def scan(text: str | None, known: list[Template]) -> list[tuple[str, float, int,
             continue
         for start, end in _windows(words, t):
             for n, i, j in _matches(words, start, end, t):
-                out.append((t.name, round(n / len(t.words), 6), spans[i][0], spans[j][1]))
-    return sorted(out, key=lambda m: (m[2], m[3], m[0]))
+                out.append((n, t.name, round(n / len(t.words), 6), spans[i][0], spans[j][1]))
+    # where templates overlap, the one with the most aligned words tells the licence
+    kept: list[tuple[str, float, int, int]] = []
+    for _, *m in sorted(out, key=lambda m: (-m[0], -m[2], m[3], m[1])):
+        at = bisect_left(kept, m[2], key=lambda k: k[2])
+        if (at == 0 or kept[at - 1][3] <= m[2]) and (at == len(kept) or kept[at][2] >= m[3]):
+            kept.insert(at, tuple(m))
+    return kept
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts: dict[str, str] | None = None,

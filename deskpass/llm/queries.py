@@ -138,3 +138,9 @@ def _op3_sql() -> str:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskpass.llm.sharding import assign_shards
     return assign_shards(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op1_paragraph_repeats")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.substring import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
