@@ -123,10 +123,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that contain an item of ``benchmark``."""
+    bad_id, bad_hash = free_name(docs, "bad_id"), free_name(docs, "bad_hash")
     bad = contaminated(docs, benchmark, id_col, text, **options).select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+        F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
     bad = stage(bad, "decontam-bad")
     h = free_name(docs, "text_hash")
     names = [col(c) for c in docs.columns]
     j = docs.withColumn(h, F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))))
-    return j.join(bad, col(id_col).eqNullSafe(F.col("bad_id")) & (col(h) == F.col("bad_hash")), "left_anti").select(*names)
+    return j.join(bad, col(id_col).eqNullSafe(col(bad_id)) & (col(h) == col(bad_hash)), "left_anti").select(*names)

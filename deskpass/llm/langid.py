@@ -89,9 +89,7 @@ class Lattice:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.longest = max(map(len, pieces))
-        self.powers = np.ones(self.longest + 1, np.uint64)
-        for i in range(self.longest):
-            self.powers[i + 1] = self.powers[i] * _BASE
+        self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
 
     def edges(self, block: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words, pieces): which words of the equally long ``block`` have which piece there."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskpass.llm.common import bounded_batches, col, need, stage
+from deskpass.llm.common import bounded_batches, col, free_name, need, stage
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -177,5 +177,6 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document is kept. Ids must be unique (rows with a null id go)."""
-    kept = quality_verdicts(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, col(id_col) == F.col("__kept"), "left_semi")
+    k = free_name(docs, "kept_id")
+    kept = quality_verdicts(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias(k))
+    return docs.join(kept, col(id_col) == col(k), "left_semi")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskpass.llm.common import col, need, stage
+from deskpass.llm.common import col, free_name, need, stage
 
 LIMIT = 16 << 20    # bytes of text a shard may hold
 KEY_BITS = 60       # bits of the md5 of the key; as many of the row's own hash follow
@@ -103,9 +103,12 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Write ``docs`` as one folder ``shard=...`` per shard (keys must be unique) and return the assignment."""
+    """Write ``docs`` as one folder ``shard=b<bits>`` per shard (keys must be unique) and return the assignment.
+
+    A column of ``docs`` called shard is replaced."""
     given = stage(assign_shards(docs, key, text, limit), "shards")
-    s = given.select(F.col("key").alias("s_key"), "shard")
-    named = docs.join(s, col(key).eqNullSafe(F.col("s_key"))).drop("s_key")
+    k = free_name(docs, "shard_key")
+    s = given.select(F.col("key").alias(k), F.concat(F.lit("b"), "shard").alias("shard"))
+    named = docs.drop("shard").join(s, col(key).eqNullSafe(col(k))).drop(k)
     named.repartition("shard").write.partitionBy("shard").parquet(path)
     return given

@@ -187,11 +187,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
                   max_bits: int = 2, cell: int = CELL) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id (ids before nulls; of equal rows, one)."""
     _, labels = _labelled(docs, id_col, text, shingle, max_bits, cell)
-    stay = labels.select(F.col("first.doc_id").alias("s_id"), F.col("first.text_hash").alias("s_hash")).distinct()
     names = docs.columns
+    s_id, s_hash = free_name(docs, "stay_id"), free_name(docs, "stay_hash")
+    stay = labels.select(F.col("first.doc_id").alias(s_id), F.col("first.text_hash").alias(s_hash)).distinct()
     h = free_name(docs, "text_hash")
     j = docs.withColumn(h, F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))))
-    j = j.join(stay, col(id_col).eqNullSafe(F.col("s_id")) & (col(h) == F.col("s_hash")))
+    j = j.join(stay, col(id_col).eqNullSafe(col(s_id)) & (col(h) == col(s_hash)))
     nth = free_name(j, "nth")
-    j = j.withColumn(nth, F.row_number().over(Window.partitionBy("s_id", "s_hash").orderBy("s_id")))
+    j = j.withColumn(nth, F.row_number().over(Window.partitionBy(col(s_id), col(s_hash)).orderBy(col(s_id))))
     return j.where(col(nth) == 1).select(*[col(c) for c in names])

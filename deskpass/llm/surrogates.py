@@ -256,11 +256,11 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count_col:
                                                        lambda x: x["new"]).alias("news")), "pii-lists")
     hk = free_name(docs, "text_md5")
     some = docs.where(has).withColumn(hk, F.md5(t))
-    lk = lists.select(F.col("h").alias("l_h"), "news")
-    some = some.join(lk, col(hk) == F.col("l_h"))
+    lk, news = free_name(docs, "list_md5"), free_name(docs, "news")
+    some = some.join(lists.select(F.col("h").alias(lk), F.col("news").alias(news)), col(hk) == col(lk))
     gaps = F.split(t, ANY, -1)
-    filled = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    filled = F.array_join(F.zip_with(gaps, col(news), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     extra = lambda v: [v.cast("long").alias(count_col)] if count_col else []
-    some = some.select(*[filled.alias(c) if c == text else col(c) for c in names], *extra(F.size("news")))
+    some = some.select(*[filled.alias(c) if c == text else col(c) for c in names], *extra(F.size(col(news))))
     none = docs.where(~has).select(*[t.alias(c) if c == text else col(c) for c in names], *extra(F.lit(0)))
     return none.unionByName(some)

@@ -19,7 +19,8 @@ vary between pages; never what lies in navigation, headers, footers, asides, for
 adverts, notices, comments, scripts or styles.
 
 Defined cases: null html gives the empty string; a null or odd URL belongs to the
-host ""; a page alone on its host is its own wrapper; cut-off tags, unclosed elements
+host ""; a page alone on its host, or without anything that the wrapper keeps, is its own
+wrapper; cut-off tags, unclosed elements
 and bare text are read as far as they go; an empty table gives no rows.
 """
 
@@ -286,6 +287,9 @@ def extract(page: str | None, wrapper: str | None, pages: int = 1) -> str:
     for i, positions in enumerate(under):
         allowed = kept[matched[i]] if i in matched else everywhere
         keep.update(p for p in positions if tokens[p][1] is not None and tokens[p][0] in allowed)
+    if not keep:  # a page unlike its host's others (without their article) speaks for itself
+        own_texts = [p for p, (t, x) in enumerate(tokens) if x is not None and not _boilerplate(t)]
+        keep = {p for p in own_texts if _article(tokens[p][0])} or set(own_texts)
     return "\n\n".join(tokens[p][1] for p in sorted(keep))
 
 
