@@ -9,6 +9,7 @@ dropped again.
 from __future__ import annotations
 
 from typing import Iterable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,45 +39,24 @@ def alt(terms: Iterable[str]) -> str:
     return "|".join(terms)
 
 
-ROOM_RE = alt(ROOM_TERMS)
-PERSONAL_RE = alt(PERSONAL_TERMS)
-WORK_RE = alt(WORK_TERMS)
-TRIP_WORD_RE = alt(TRIP_TERMS)
-
-
-def attendee_re(names: Iterable[str] = DEFAULT_NAMES) -> str:
-    return alt(list(TITLE_TERMS) + list(names))
-
-
 _META = set("[](){}.*+?^$|\\")
+# Literal text that a pattern term of the schema can't match without.
+GUARDS = {"[0-9]+층": "층"}
 
 
-def _guard(term: str) -> str:
-    """Literal characters a pattern term cannot match without (``[0-9]+층`` → ``층``)."""
-    out, depth = [], 0
-    for ch in term:
-        if ch == "[":
-            depth += 1
-        elif ch == "]":
-            depth -= 1
-        elif depth == 0 and ch not in _META:
-            out.append(ch)
-    return "".join(out)
-
-
-def match_any(c: Column | str, terms: Iterable[str]) -> Column:
+def match_any(c: Column | str, terms: Iterable[str], guards: dict[str, str] = GUARDS) -> Column:
     """True when the text contains any term; same result as ``rlike(alt(terms))``.
 
     Literal terms become ``contains`` (a byte search), so long texts are not run
-    through a many-way regex alternation at every position; a pattern term runs
-    its regex only when its literal part is present.
+    through a many-way regex alternation at every position. Pattern terms run as
+    they are; where ``guards`` names a literal text that a pattern needs, only
+    on texts that contain it.
     """
     c = _c(c)
     expr = None
     for t in terms:
         if any(ch in _META for ch in t):
-            g = _guard(t)
-            e = (c.contains(g) & c.rlike(t)) if g else c.rlike(t)
+            e = (c.contains(guards[t]) & c.rlike(t)) if t in guards else c.rlike(t)
         else:
             e = c.contains(t)
         expr = e if expr is None else (expr | e)
@@ -230,7 +210,8 @@ _POLICY_FUNCS = {
 }
 
 
-_BUILT: dict[tuple, Column] = {}
+# Per session (and gone with it): the built expressions.
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def policy_column(policy: str, category: str, reason: str, tokens: str,
@@ -239,16 +220,15 @@ def policy_column(policy: str, category: str, reason: str, tokens: str,
 
     A policy is an unresolved expression of several hundred nodes, and every
     node is one call into the JVM to build; the tree does not depend on any
-    DataFrame, so it is built once per JVM and shared by every plan.
+    DataFrame, so it is built once per session and shared by its plans.
     """
-    from pyspark import SparkContext
-    key = (id(SparkContext._gateway), policy, category, reason, tokens, tuple(names), tuple(trip_places))
-    col = _BUILT.get(key)
-    if col is None:
-        col = _POLICY_FUNCS[policy](F.col(category), F.col(reason), F.col(tokens), names=list(names),
-                                    trip_places=list(trip_places))
-        _BUILT[key] = col
-    return col
+    names, trip_places = tuple(names), tuple(trip_places)
+    key = (policy, category, reason, tokens, names, trip_places)
+    built = _BUILT.setdefault(SparkSession.active(), {})
+    if key not in built:
+        built[key] = _POLICY_FUNCS[policy](F.col(category), F.col(reason), F.col(tokens), names=names,
+                                           trip_places=trip_places)
+    return built[key]
 
 
 def decide(df: DataFrame, policy: str = "three", category: str = "category", reason: str = "reason",
@@ -268,6 +248,7 @@ def decide(df: DataFrame, policy: str = "three", category: str = "category", rea
 def decide_all(df: DataFrame, category: str = "category", reason: str = "reason",
                names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> DataFrame:
     """One decision column per policy (``d_<policy>``), tokens split once."""
+    names, trip_places = tuple(names), tuple(trip_places)
     df = df.withColumn("__tok", reason_tokens(reason))
     df = df.withColumns({f"d_{p}": policy_column(p, category, reason, "__tok", names, trip_places)
                          .getField("decision") for p in _POLICY_FUNCS})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from deskpass.schema import FORM_SUFFIX_PATTERN
 
 # Unicode-aware whitespace at either end, like Python's str.strip().
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+_EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 # A token: two or more letters, digits or underscores (TF-IDF default pattern).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 

@@ -30,18 +30,9 @@ def valid_categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
 
 
-def keep_valid(df: DataFrame, valid: DataFrame, col: str = "category",
-               broadcast_rows: int = 100_000) -> DataFrame:
-    """Semi join to a table of valid values.
-
-    The values table is broadcast only after a count shows it is small (the
-    four-category table always is); a larger one takes a plain join. Without
-    the broadcast, a semi join on a column of a few distinct values would
-    shuffle every row into a few partitions.
-    """
+def keep_valid(df: DataFrame, valid: DataFrame, col: str = "category") -> DataFrame:
+    """Semi join to a table of valid values; Spark broadcasts it by its size."""
     v = valid.select(F.col(valid.columns[0]).alias("__valid"))
-    if v.count() <= broadcast_rows:
-        v = F.broadcast(v)
     return df.join(v, F.col(col) == F.col("__valid"), "left_semi")
 
 
@@ -65,9 +56,3 @@ def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return (docs.groupBy(F.sha2(F.col(text), 256).alias("__h"))
             .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
             .drop("__h"))
-
-
-def dedup_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """U2 with whole rows: survivors of ``dedup_texts`` joined back to their rows."""
-    keep = dedup_texts(docs, text, key).select(key)
-    return docs.join(keep, key, "left_semi")

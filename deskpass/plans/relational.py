@@ -31,9 +31,10 @@ def j1(spark, d):
 select r.request_id, r.status from r where not exists (select 1 from rej where rej.request_id = r.request_id)""",
                                          rule_view=True))
 def j2(spark, d):
-    v = requests_with_category(spark, d, rules=True)
-    rejected = RU.decide(v, "lenient").filter(F.col("decision") == REJECT).select("request_id")
-    return OP.skip_rejected(v, rejected, "request_id").select("request_id", "status")
+    rejected = (RU.decide(requests_with_category(spark, d, rules=True), "lenient")
+                .filter(F.col("decision") == REJECT).select("request_id"))
+    v = requests_with_category(spark, d, rules=True, status=True).select("request_id", "status")
+    return OP.skip_rejected(v, rejected, "request_id")
 
 
 @register("J5_valid_semi_join", with_views("""
@@ -52,7 +53,7 @@ def u1(spark, d):
     v = requests_with_category(spark, d, rules=True)
     log = RU.decide(v, "three").select("request_id", F.lit("three").alias("policy"), "decision")
     new = RU.decide(v, "lenient").select("request_id", F.lit("lenient").alias("policy"), "decision")
-    return OP.append_rows(log, new)
+    return OP.append_rows(log, new)  # a log and what is appended to it: two decisions of each text, no shuffle
 
 
 @register("U2_dedup_texts", "select min(doc_id) as doc_id, count(*) as copies from documents group by text")

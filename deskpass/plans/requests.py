@@ -14,10 +14,11 @@ from deskpass.schema import CATEGORIES, CAT_PERSONAL, REQUIRED_MESSAGE, SOURCE_C
 from deskpass.sources.tables import request_view, table
 
 
-def requests_with_category(spark, sf_dir, rules=False):
+def requests_with_category(spark, sf_dir, rules=False, status=False):
+    """Requests and their category; ``status=True`` adds the status (a join), ``rules=True`` the worked examples."""
     from deskpass.sources.tables import rule_request_view
     view = rule_request_view if rules else request_view
-    return view(spark, sf_dir).withColumn("category", X.last_segment("request_raw"))
+    return view(spark, sf_dir, status).withColumn("category", X.last_segment("request_raw"))
 
 
 @register("P1_keep_columns", with_views("select request_raw, reason, status from r"))
@@ -82,13 +83,13 @@ def p7(spark, d):
 @register("P8_reason_length", with_views(
     "select request_id, cast(length(reason) as integer) as reason_len from r"))
 def p8(spark, d):
-    return request_view(spark, d).select("request_id", X.char_length("reason").alias("reason_len"))
+    return request_view(spark, d, status=False).select("request_id", X.char_length("reason").alias("reason_len"))
 
 
 @register("P9_duplicate_flag", with_views(
     "select request_id, coalesce(cast(contains(approver_note, '중복') as integer), 0) as dup_flag from r"))
 def p9(spark, d):
-    return request_view(spark, d).select("request_id", L.duplicate_flag("approver_note").alias("dup_flag"))
+    return request_view(spark, d, status=False).select("request_id", L.duplicate_flag("approver_note").alias("dup_flag"))
 
 
 _P10_COLS = ["request_raw", "reason", "status", "approver_note"]
@@ -186,7 +187,7 @@ def p17(spark, d):
 @register("P18_py_strip", with_views(
     f"select request_id, {strip('reason')} as reason_stripped, {last_segment('request_raw')} as category from r"))
 def p18(spark, d):
-    v = request_view(spark, d)
+    v = request_view(spark, d, status=False)
     return v.select("request_id", X.py_strip("reason").alias("reason_stripped"),
                     X.last_segment("request_raw").alias("category"))
 
@@ -213,21 +214,28 @@ def p21(spark, d):
 
 @register("P22_nfkc")
 def p22(spark, d):
+    """Page text with its markup's compatibility characters in composed form (titles hold some in every language)."""
     pages = table(spark, d, "pages")
-    return pages.select("page_id", X.nfkc(F.col("url")).alias("url_nfkc"))
+    return pages.select("page_id", X.nfkc(F.col("url")).alias("url_nfkc"), F.char_length(X.nfkc(F.col("html"))).alias("html_chars"))
 
 
 @register("P23_clean_text", "select doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', ' ', 'g'), "
           "'\\s+', ' ', 'g')) as clean from documents")
 def p23(spark, d):
-    from deskpass.operators.layout import spread
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", X.clean_text("text").alias("clean"))
 
 
-@register("P24_try_parse", "select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, "
-          "try_cast(json_extract_string(props, '$.k') as integer) is null as parse_error from events")
+@register("P24_try_parse", "select event_id, part, try_cast(v as integer) as k, v is null as absent, "
+          "v is not null and try_cast(v as integer) is null as parse_error from ("
+          "select event_id, 'props' as part, json_extract_string(props, '$.k') as v from events union all "
+          "select event_id, 'type' as part, event_type as v from events)")
 def p24(spark, d):
+    """Values that parse (a JSON key), are absent (the key is missing) and fail (event types as numbers)."""
     ev = table(spark, d, "events")
-    k = F.expr("try_cast(get_json_object(props, '$.k') as int)")
-    return ev.select("event_id", k.alias("k"), k.isNull().alias("parse_error"))
+    both = ev.select("event_id", F.explode(F.array(
+        F.struct(F.lit("props").alias("part"), F.get_json_object("props", "$.k").alias("v")),
+        F.struct(F.lit("type").alias("part"), F.col("event_type").alias("v")))).alias("x")).select("event_id", "x.*")
+    k = F.col("v").try_cast("int")
+    return both.select("event_id", "part", k.alias("k"), F.col("v").isNull().alias("absent"),
+                       (F.col("v").isNotNull() & k.isNull()).alias("parse_error"))

@@ -27,8 +27,7 @@ def _run_per_slice(spark, parts, feed, start):
 
 
 def _arrivals(spark, d):
-    ev = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").alias("arrived_at"))
-    return rule_request_view(spark, d).join(ev, "request_id", "left")
+    return rule_request_view(spark, d).select("request_id", "request_raw", "reason")
 
 
 def _st1(spark, d, replay: bool):
@@ -116,13 +115,13 @@ def st6(spark, d):
     from deskpass.plans.models import labelled
     base = scratch_path(spark, "st6")
     feed, tbl, ck, models = f"{base}/in", f"{base}/train", f"{base}/ck", f"{base}/models"
-    rows = labelled(spark, d).filter(F.col("label").isNotNull() & F.col("model_text").isNotNull())
+    rows = labelled(spark, d).filter(F.col("label").isNotNull())
     train = rows.filter(~F.col("is_test")).select("request_id", "model_text", "label")
     parts = SD.slices(train, "request_id", SD.key_bounds(train, "request_id", 3))
     stream = lambda: spark.readStream.schema(train.schema).parquet(feed)
     SD.feed_files(parts, feed)
     SI.collect_training(stream(), tbl, ck)
-    model, _ = SI.refit(spark, tbl, ML.text_forest("model_text", "label", num_trees=50), models, 1)
+    model, _ = SI.refit(spark, tbl, ML.text_forest("model_text", "label"), models, 1)
     return model.transform(rows.filter("is_test")).select("request_id", "label", "prediction")
 
 

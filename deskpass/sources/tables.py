@@ -47,43 +47,44 @@ def _pick(key, values):
     return expr
 
 
-def request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_view(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:
     """D1 stand-in: request_id, request_raw, reason, status, approver_note.
 
     One row per document; labels (unique per doc_id) give the approve/reject
     status. Nulls, blanks and a trailing-slash style are produced by id rules so
-    every null path is exercised.
+    every null path is exercised. ``status=False`` leaves the status out and with
+    it the join to ``labels``, so texts stay where they were scanned.
     """
-    from deskpass.operators.layout import spread
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = d.join(lab, "doc_id", "left")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     k = F.col("doc_id")
     raw = F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.col("lang"), F.lit("/ "), _pick(k % 5, FIXTURE_CATEGORY_ORDER)))
     reason = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
-    status = (F.when(F.col("quality") == 1, F.lit("승인됨"))
-              .when(F.col("quality") == 0, F.lit("거절됨"))
-              .when(k % 3 == 0, F.lit("취소됨"))
-              .when(k % 3 == 1, F.lit("대기중")))
     note = (F.when(k % 7 == 0, F.lit("중복 요청"))
             .when(k % 5 == 0, F.lit(None).cast("string"))
             .otherwise(F.col("source")))
-    return j.select(k.alias("request_id"), raw.alias("request_raw"), reason.alias("reason"),
-                    status.alias("status"), note.alias("approver_note"))
+    cols = [k.alias("request_id"), raw.alias("request_raw"), reason.alias("reason"), note.alias("approver_note")]
+    if not status:
+        return d.select(*cols)
+    j = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    state = (F.when(F.col("quality") == 1, F.lit("승인됨"))
+             .when(F.col("quality") == 0, F.lit("거절됨"))
+             .when(k % 3 == 0, F.lit("취소됨"))
+             .when(k % 3 == 1, F.lit("대기중")))
+    return j.select(*cols[:3], state.alias("status"), cols[3])
 
 
-def rule_request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request view whose reasons are the worked-example texts on every third id.
+def _examples() -> list[tuple[int, str, str]]:
+    """The worked examples as requests of every category: (negative id, request, reason)."""
+    n = len(EXAMPLE_REASONS)
+    return [(-(1 + c * n + k), f"ko/ {category}", reason)
+            for c, category in enumerate(FIXTURE_CATEGORY_ORDER) for k, reason in enumerate(EXAMPLE_REASONS)]
 
-    Other ids keep the whole document text as reason; every 17th reason is null.
-    """
-    base = request_view(spark, sf_dir)
-    k = F.col("request_id")
-    reason = (F.when(k % 17 == 0, F.lit(None).cast("string"))
-              .when(k % 3 == 0, _pick(k % 14, EXAMPLE_REASONS))
-              .otherwise(F.col("reason")))
-    return base.withColumn("reason", reason)
+
+def rule_request_view(spark: SparkSession, sf_dir: str, status: bool = False) -> DataFrame:
+    """Request view plus the worked examples as further rows (a fixed number, negative ids, no status or note)."""
+    more = spark.createDataFrame(_examples(), "request_id long, request_raw string, reason string")
+    return request_view(spark, sf_dir, status).unionByName(more, allowMissingColumns=True)
 
 
 # Oracle SQL for the same views (DuckDB dialect), used by the plans.
@@ -105,17 +106,13 @@ from documents d left join labels l on d.doc_id = l.doc_id
 
 
 def _example_values_sql() -> str:
-    rows = ",\n  ".join(f"({i}, '{t}')" for i, t in enumerate(EXAMPLE_REASONS))
-    return f"(values\n  {rows}) ex(k, example)"
+    return ",\n  ".join(f"({i}, '{raw}', '{reason}', null, null)" for i, raw, reason in _examples())
 
 
 RULE_VIEW_SQL = f"""
-select r.request_id, r.request_raw,
-  case when r.request_id % 17 = 0 then null
-       when r.request_id % 3 = 0 then ex.example
-       else r.reason end as reason,
-  r.status, r.approver_note
-from ({REQUEST_VIEW_SQL}) r join {_example_values_sql()} on r.request_id % 14 = ex.k
+select * from ({REQUEST_VIEW_SQL})
+union all select * from (values
+  {_example_values_sql()}) ex(request_id, request_raw, reason, status, approver_note)
 """
 
 assert FIXTURE_CATEGORY_ORDER[:4] == CATEGORIES

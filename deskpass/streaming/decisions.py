@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from deskpass.functions import rules as RU
@@ -50,14 +51,16 @@ def skip_rejected_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
     in this batch (W6), and log this batch's new rejects."""
     rejected = rejected if rejected is not None else (F.col("event_type") == "error")
     fresh = batch
+    # schemas are stated, so a log without a file yet (no reject so far) reads as empty
+    log = lambda columns: T.StructType([*columns, T.StructField("batch_id", T.IntegerType())])
     if _exists(spark, rejects):
-        earlier = spark.read.parquet(rejects).filter(F.col("batch_id") < batch_id)
+        earlier = spark.read.schema(log([batch.schema[key]])).parquet(rejects).filter(F.col("batch_id") < batch_id)
         if retention_batches:
             earlier = earlier.filter(F.col("batch_id") >= batch_id - retention_batches)
         fresh = batch.join(earlier.select(key).distinct(), key, "left_anti")
     kept = until_first(fresh, key, rejected, list(order))
     write_partition(kept, sink, batch_id)
-    written = spark.read.parquet(sink).filter(F.col("batch_id") == batch_id)
+    written = spark.read.schema(log(batch.schema.fields)).parquet(sink).filter(F.col("batch_id") == batch_id)
     new_rejects = written.filter(rejected).select(key).distinct()
     write_partition(new_rejects, rejects, batch_id)
 

@@ -14,16 +14,6 @@ def test_ordered_join_in_runs_equals_one_step(spark):
     assert flat[2] == "u3\nu5\nu9" and flat[3] is None
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    """No shuffle is added to an input that can already occupy every core."""
-    from deskpass.operators.layout import spread
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, 1, cores)
-    assert spread(wide, "id") is wide
-    narrow = spark.range(0, 1000, 1, 1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == 2 * cores
-
-
 def test_keep_valid_same_with_and_without_broadcast(spark):
     from deskpass.operators import relational as OP
     df = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", None, "c", "a"])], "id long, category string")
