@@ -12,7 +12,7 @@ from deskpass.plans.registry import register
 from deskpass.plans.requests import requests_with_category
 from deskpass.plans.sessions import PAIRS_SQL, exchanges
 from deskpass.plans.sqlbits import CATS, POLICY_SQL, with_views
-from deskpass.schema import BATCH_LOG, CATEGORIES, REQUESTS
+from deskpass.schema import BATCH_LOG, CATEGORIES, FORM_LOG, MANIFEST, REQUESTS
 from deskpass.session import scratch_path
 from deskpass.sources import files as FS
 from deskpass.sources.tables import REQUEST_VIEW_SQL, request_view, table
@@ -32,40 +32,62 @@ def s1_json(spark, d):
     return FS.read_requests(spark, f"{base}/json", "json", REQUESTS)
 
 
-def _docs_as_files(spark, d, folder, n_files=8):
-    """Documents written as text files (one text per line group, several files)."""
+DOCS_PER_FILE = 1000
+N_FILES_SQL = f"cast(greatest(8, ceil(count(*) / {DOCS_PER_FILE}.0)) as bigint)"
+
+
+def docs_as_files(spark, d, folder):
+    """Documents written as text files whose number grows with the table (about
+    ``DOCS_PER_FILE`` documents each), so no file holds a fixed share of it."""
     docs = table(spark, d, "documents").select("doc_id", "text")
+    n_files = max(8, -(-docs.count() // DOCS_PER_FILE))
     docs.repartition(n_files, "doc_id").select("text").write.text(folder)
 
 
-@register("S2_read_corpus")
+@register("S2_read_corpus", f"select {N_FILES_SQL} as n_files, cast(sum(length(text) + 1) as bigint) as n_chars from documents")
 def s2(spark, d):
     base = scratch_path(spark, "s2")
-    _docs_as_files(spark, d, f"{base}/docs")
+    docs_as_files(spark, d, f"{base}/docs")
     corpus = FS.read_corpus(spark, f"{base}/docs", "*.txt")
-    return corpus.select("path", F.char_length("text").alias("n_chars"))
+    return corpus.agg(F.count_distinct("path").alias("n_files"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
-@register("U3_union_readers")
+@register("U3_union_readers", f"""select 'files' as reader, {N_FILES_SQL} as n_rows, cast(sum(length(text) + 1) as bigint) as n_chars
+from documents union all select 'table', count(*), cast(sum(length(text)) as bigint) from documents""")
 def u3(spark, d):
     base = scratch_path(spark, "u3")
-    _docs_as_files(spark, d, f"{base}/docs")
+    docs_as_files(spark, d, f"{base}/docs")
     from_files = FS.read_corpus(spark, f"{base}/docs", "*.txt").select(F.col("path").alias("source"), "text")
     from_table = table(spark, d, "documents").select(F.concat(F.lit("table:"), F.col("source")).alias("source"), "text")
-    return union_all([from_files, from_table]).select("source", F.char_length("text").alias("n_chars"))
+    both = union_all([from_files, from_table])
+    reader = F.when(F.col("source").startswith("table:"), "table").otherwise("files")
+    return both.groupBy(reader.alias("reader")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+def touch_first(spark, folder):
+    """Give the first file of ``folder`` a later modification time."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = min(s.getPath().toString() for s in fs.listStatus(root) if s.getPath().getName().endswith(".txt"))
+    p = jvm.org.apache.hadoop.fs.Path(first)
+    fs.setTimes(p, fs.getFileStatus(p).getModificationTime() + 60_000, -1)
 
 
-@register("S3_changed_files")
+@register("S3_changed_files", f"""select 'new' as state, {N_FILES_SQL} as n_files from documents
+union all select 'unchanged', {N_FILES_SQL} - 1 from documents union all select 'modified', cast(1 as bigint)""")
 def s3(spark, d):
     base = scratch_path(spark, "s3")
-    _docs_as_files(spark, d, f"{base}/docs")
+    docs_as_files(spark, d, f"{base}/docs")
+    first = FS.changed_files(FS.file_listing(spark, f"{base}/docs", "*.txt"), spark.createDataFrame([], MANIFEST))
+    FS.update_manifest(spark.createDataFrame([], MANIFEST), first, 1).write.parquet(f"{base}/manifest")
+    manifest = spark.read.parquet(f"{base}/manifest")
+    touch_first(spark, f"{base}/docs")
     listing = FS.file_listing(spark, f"{base}/docs", "*.txt")
-    # nothing is known yet: every file is new; then the manifest makes none of them new
-    first = FS.changed_files(listing, spark.createDataFrame([], "path string, modified_at timestamp"))
-    manifest = FS.update_manifest(spark.createDataFrame([], "path string, modified_at timestamp"), first)
     second = FS.changed_files(listing, manifest)
-    return first.select("path", F.lit("new").alias("state")).unionByName(
-        second.select("path", F.lit("changed_again").alias("state")))
+    states = [manifest.select(F.lit("new").alias("state")), second.select(F.lit("modified").alias("state")),
+              listing.join(second.select("path"), "path", "left_anti").select(F.lit("unchanged").alias("state"))]
+    return union_all(states).groupBy("state").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def _batch_log(spark, d):
@@ -84,39 +106,56 @@ select cast(request_id as varchar) as row_id, ({POLICY_SQL['lenient']()}).decisi
 
 def _log_sql_full() -> str:
     return with_views(f"""
-, dd as (select request_id, category, {POLICY_SQL['lenient']()} as res from r)
-select cast(request_id as varchar) as row_id, category, res.decision as decision,
+, dd as (select request_id, category, reason, {POLICY_SQL['lenient']()} as res from r)
+select cast(request_id as varchar) as row_id, category, reason, res.decision as decision,
   res.reject_reason as reject_reason from dd""", rule_view=True)
 
 
-@register("S4_load_or_create_log", _log_sql(", cast(0 as bigint) as rows_before"))
+def _log_cycle(spark, d, path):
+    """Load (or create), append, save; rows before."""
+    log = FS.load_or_create_log(spark, path, BATCH_LOG)
+    before = log.count()
+    FS.save_log(log.unionByName(_batch_log(spark, d)), path)
+    return before
+
+
+@register("S4_load_or_create_log", _log_sql(", cast(0 as bigint) as rows_before, n_log as rows_between")
+          + ", (select count(*) as n_log from r) c, (values (1), (2)) twice(t)")
 def s4(spark, d):
-    base = scratch_path(spark, "s4")
-    empty = FS.load_or_create_log(spark, f"{base}/log", BATCH_LOG)
-    n0 = empty.count()
-    FS.save_log(empty.unionByName(_batch_log(spark, d)), f"{base}/log")
-    again = FS.read_log(spark, f"{base}/log")
-    return again.select("row_id", "decision", F.lit(n0).cast("long").alias("rows_before"))
+    """Two runs: the first creates the log, the second appends to what the first saved."""
+    path = f"{scratch_path(spark, 's4')}/log"
+    n0 = _log_cycle(spark, d, path)
+    n1 = _log_cycle(spark, d, path)
+    again = FS.load_or_create_log(spark, path, BATCH_LOG)
+    return again.select("row_id", "decision", F.lit(n0).cast("long").alias("rows_before"), F.lit(n1).cast("long").alias("rows_between"))
 
 
-@register("S5_save_log_csv", _log_sql_full())
+@register("S5_save_log_csv", _log_sql_full() + ", (values (1), (2)) twice(t)")
 def s5(spark, d):
-    base = scratch_path(spark, "s5")
-    FS.save_log(_batch_log(spark, d), f"{base}/v1")
-    back = FS.read_log(spark, f"{base}/v1")
-    return back.select("row_id", "category", "decision", "reject_reason")
+    """The log saved over itself with new rows, whole texts with line breaks included."""
+    path = f"{scratch_path(spark, 's5')}/log"
+    FS.save_log(_batch_log(spark, d), path)
+    FS.save_log(FS.read_log(spark, path).unionByName(_batch_log(spark, d)), path)
+    back = FS.read_log(spark, path)
+    return back.select("row_id", "category", "reason", "decision", "reject_reason")
+
+
+FORM_TIME = "2024-01-01 09:00:00"
 
 
 @register("S6_append_decisions", with_views(f"""
-, dd as (select request_id, ({POLICY_SQL['three']()}).decision as decision from r)
+, dd as (select strptime('{FORM_TIME}', '%Y-%m-%d %H:%M:%S') as logged_at, category as request_type, reason,
+  ({POLICY_SQL['three']()}).decision as decision from r)
 select * from dd union all select * from dd""", rule_view=True))
 def s6(spark, d):
+    """The form's decision log: time, type, reason, decision, appended by two jobs."""
     base = scratch_path(spark, "s6")
     v = requests_with_category(spark, d, rules=True)
-    dec = RU.decide(v, "three").select("request_id", "decision")
+    dec = RU.decide(v, "three").select(F.lit(FORM_TIME).cast("timestamp").alias("logged_at"),
+                                       F.col("category").alias("request_type"), "reason", "decision")
     FS.append_decisions(dec, f"{base}/log")
     FS.append_decisions(dec, f"{base}/log")
-    return spark.read.parquet(f"{base}/log")
+    return spark.read.schema(FORM_LOG).parquet(f"{base}/log").withColumn("logged_at", F.col("logged_at").cast("timestamp_ntz"))
 
 
 @register("S7_write_jsonl", with_views(
@@ -150,25 +189,29 @@ def s8(spark, d):
     f"select request_id, category, status from r where status in ('승인됨', '거절됨') and category in {CATS}"))
 def s9(spark, d):
     base = scratch_path(spark, "s9")
-    v = requests_with_category(spark, d)
+    v = requests_with_category(spark, d, status=True)
     cleaned = (v.dropna(subset=["status"]).filter(F.col("status").isin("승인됨", "거절됨"))
                .filter(F.col("category").isin(CATEGORIES)).select("request_id", "category", "status"))
     FS.append_decisions(cleaned, f"{base}/cleaned")
     return spark.read.parquet(f"{base}/cleaned")
 
 
-@register("S13_bad_files_to_errors")
+@register("S13_bad_files_to_errors", f"""select 'read' as state, {N_FILES_SQL} as n_files,
+  cast(sum(length(text) + 1) as bigint) as n_chars from documents
+union all select 'not valid UTF-8 text', {N_FILES_SQL}, null from documents where regexp_matches(text, '[^\\x00-\\x7F]')""")
 def s13(spark, d):
-    """Documents as UTF-8 files plus the same texts re-encoded as Latin-1: files
+    """Documents as UTF-8 files plus the non-ASCII ones re-encoded as Latin-1: files
     that are not valid UTF-8 go to the errors table, the rest load."""
     base = scratch_path(spark, "s13")
-    docs = table(spark, d, "documents").select("text")
-    docs.repartition(4).write.text(f"{base}/docs/good")
-    (docs.filter(F.col("text").rlike("[^\\x00-\\x7F]")).repartition(2)
-     .write.option("encoding", "ISO-8859-1").option("quoteAll", False).option("escapeQuotes", False)
-     .csv(f"{base}/docs/latin1"))
+    docs_as_files(spark, d, f"{base}/docs/good")
+    other = table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").rlike("[^\\x00-\\x7F]"))
+    n = max(8, -(-other.count() // DOCS_PER_FILE))
+    (other.repartition(n, "doc_id").select("text").write.option("encoding", "ISO-8859-1").option("quoteAll", False)
+     .option("escapeQuotes", False).csv(f"{base}/docs/latin1"))
     ok, bad = FS.read_with_errors(spark, f"{base}/docs", "*.*")
-    return ok.select("path", F.lit(None).cast("string").alias("error")).unionByName(bad)
+    both = ok.select(F.lit("read").alias("state"), F.char_length("text").cast("long").alias("n")).unionByName(
+        bad.select(F.col("error").alias("state"), F.lit(None).cast("long").alias("n")))
+    return both.groupBy("state").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_chars"))
 
 
 @register("S10_write_predictions", with_views("""

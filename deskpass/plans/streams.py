@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deskpass.plans.files import N_FILES_SQL, docs_as_files, touch_first
 from deskpass.plans.registry import ORACLE, register
 from deskpass.plans.sessions import exchanges
 from deskpass.session import scratch_path
@@ -14,9 +15,6 @@ from deskpass.streaming import sessions as SS
 from deskpass.streaming import indexing as SI
 
 
-DOCS_PER_FILE = 1000
-
-
 def _run_per_slice(spark, parts, feed, start):
     """Feed one slice, run the stream to the end (``AvailableNow``, no file cap: the
     whole slice is one micro-batch), then the next slice, restarting from the
@@ -84,29 +82,19 @@ def st4(spark, d):
     return last.select("conv_id", F.col("s.n_kept").alias("n_kept"), F.col("s.context").alias("context"))
 
 
-@register("ST5_incremental_index")
+@register("ST5_incremental_index", f"select {N_FILES_SQL} as files, cast(1 as bigint) as indexed_again, "
+          f"{N_FILES_SQL} as files_whole from documents")
 def st5(spark, d):
     base = scratch_path(spark, "st5")
     folder, state = f"{base}/docs", f"{base}/state"
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    # A corpus folder whose file count grows with the table (about
-    # DOCS_PER_FILE documents per file), so no file holds a fixed share of it.
-    n_files = max(8, -(-docs.count() // DOCS_PER_FILE))
-    docs.repartition(n_files, "doc_id").select("text").write.text(folder)
+    docs_as_files(spark, d, folder)
     SI.index_changed(spark, folder, state, 1)
-    # touch one file: a newer modification time marks it as changed
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    first = sorted(st.getPath().toString() for st in fs.listStatus(root) if st.getPath().getName().endswith(".txt"))[0]
-    p = jvm.org.apache.hadoop.fs.Path(first)
-    fs.setTimes(p, fs.getFileStatus(p).getModificationTime() + 60_000, -1)
-    index, changed = SI.index_changed(spark, folder, state, 2)
-    n_changed = changed.count()
-    if n_changed != 1:
-        raise AssertionError(f"expected one changed file, got {n_changed}")
-    return index.select("path", "chunk_no", F.size("embedding").alias("dims"))
+    touch_first(spark, folder)
+    index, changed, _ = SI.index_changed(spark, folder, state, 2)
+    return (index.groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_no").alias("last"))
+            .join(changed.select("path", F.lit(1).alias("again")), "path", "left")
+            .agg(F.count(F.lit(1)).alias("files"), F.count("again").alias("indexed_again"),
+                 F.sum((F.col("chunks") == F.col("last") + 1).cast("long")).alias("files_whole")))
 
 
 @register("ST6_collect_and_refit")

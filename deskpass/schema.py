@@ -113,25 +113,6 @@ REQUESTS = T.StructType([
     T.StructField("approver_note", T.StringType()),
 ])
 
-DOCUMENT = T.StructType([
-    T.StructField("doc_id", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-])
-
-CHUNK = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("chunk_no", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
-
-VECTOR_INDEX = T.StructType([
-    T.StructField("chunk_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
 CONVERSATION_LOG = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()),
@@ -155,17 +136,8 @@ BATCH_LOG = T.StructType([
     T.StructField("saved_at", T.StringType()),
 ])
 
-TRAINING_RECORD = T.StructType([
-    T.StructField("prompt", T.StringType()),
-    T.StructField("completion", T.StringType()),
-])
-
-MESSAGE = T.StructType([
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
 MANIFEST = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modified_at", T.TimestampType()),
+    T.StructField("version", T.IntegerType()),
 ])

@@ -6,6 +6,8 @@ a path that the same plan reads: they write a fresh folder and return it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +16,28 @@ from deskpass.functions.render import to_json_line
 from deskpass.schema import BATCH_LOG, CONVERSATION_LOG, REQUESTS
 
 
-# CSV dialect of the decision log: header row, nulls as \N so that an empty
-# reject reason ('') and a missing one (null) survive a round trip, quoted
-# multi-line fields.
-CSV_OPTIONS = {"header": "true", "nullValue": "\\N", "multiLine": "true", "escape": '"'}
+# CSV dialect of the decision log: header row, nulls as \\N so that an empty
+# reject reason ('') and a missing one (null) survive a round trip. Line breaks
+# are written as ~n and ~r (and ~ as ~t), so every record is one line and large
+# files can be split when they are read.
+CSV_OPTIONS = {"header": "true", "nullValue": "\\N", "escape": '"'}
+_BREAKS = [("~", "~t"), ("\n", "~n"), ("\r", "~r")]
+
+
+def _strings(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            for old, new in pairs:
+                c = F.replace(c, F.lit(old), F.lit(new))
+        out.append(c.alias(f.name))
+    return df.select(*out)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType = BATCH_LOG) -> DataFrame:
     """Read a decision log written by ``save_log``."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return _strings(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path), [(b, a) for a, b in _BREAKS[::-1]])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,24 +56,30 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.format(fmt).load(path)
 
 
+def _as_text(raw: DataFrame) -> DataFrame:
+    return raw.select("path", F.col("modificationTime").alias("modified_at"),
+                      F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+
+
+def _binary(spark: SparkSession, folder: str, glob: str, recursive: bool = True) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", recursive).load(folder))
+
+
 def read_corpus(spark: SparkSession, folder: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
     """A folder of text documents, one row per file: (path, modified_at, text).
 
-    ``wholetext`` keeps each file as one value; unreadable files are skipped
-    by ``ignoreCorruptFiles`` (S13).
+    Files are read as bytes, so ``path`` is the same plain path as in
+    ``file_listing`` (spaces, ``%`` and non-ASCII names included). ``text`` is
+    null for a file that is not UTF-8; ``read_with_errors`` (S13) reports it. A
+    file that can't be read at all fails the job here, and is reported there.
     """
-    df = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-          .option("ignoreCorruptFiles", True).text(folder, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_modification_time").alias("modified_at"),
-                     F.col("value").alias("text"))
+    return _as_text(_binary(spark, folder, glob, recursive))
 
 
 def file_listing(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """(path, modified_at) of every matching file, without reading contents."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", True).load(folder))
-    return df.select(F.col("path"), F.col("modificationTime").alias("modified_at"))
+    return _binary(spark, folder, glob).select("path", F.col("modificationTime").alias("modified_at"))
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -68,25 +89,43 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.filter(F.col("__m").isNull() | (F.col("modified_at") > F.col("__m"))).drop("__p", "__m")
 
 
-def update_manifest(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
-    """S3: manifest after loading ``loaded`` (latest time per path)."""
-    both = manifest.select("path", "modified_at").unionByName(loaded.select("path", "modified_at"))
-    return both.groupBy("path").agg(F.max("modified_at").alias("modified_at"))
+def update_manifest(manifest: DataFrame, loaded: DataFrame, version: int = 0) -> DataFrame:
+    """S3: manifest after loading ``loaded`` in run ``version`` (latest time per path and the run that loaded it)."""
+    new = loaded.select("path", "modified_at", F.lit(version).alias("version"))
+    both = manifest.select("path", "modified_at", "version").unionByName(new)
+    return (both.groupBy("path").agg(F.max(F.struct("modified_at", "version")).alias("x"))
+            .select("path", "x.modified_at", "x.version"))
 
 
 def load_or_create_log(spark: SparkSession, path: str, schema: T.StructType = BATCH_LOG,
                        fmt: str = "csv") -> DataFrame:
-    """The decision log at ``path``, or an empty one with the log's columns."""
-    if _exists(spark, path):
+    """The decision log at ``path``; if there is none, one is created with the log's columns and no row."""
+    if not _exists(spark, path):
+        empty = spark.createDataFrame([], schema)
         if fmt == "csv":
-            return read_log(spark, path, schema)
-        return spark.read.schema(schema).format(fmt).load(path)
-    return spark.createDataFrame([], schema)
+            save_log(empty, path)
+        else:
+            empty.write.format(fmt).save(path)
+    if fmt == "csv":
+        return read_log(spark, path, schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def save_log(df: DataFrame, path: str) -> str:
-    """Write the log as CSV with a header to a new folder and return it."""
-    df.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    """Write the log as CSV with a header in place of what is at ``path``.
+
+    The new log is written beside the old one, which ``df`` may still read, and
+    swapped in when it is complete; the old one goes last."""
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    _strings(df, _BREAKS).write.mode("errorifexists").options(**CSV_OPTIONS).csv(fresh)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(to(path))
+    if had and not fs.rename(to(path), to(old)) or not fs.rename(to(fresh), to(path)):
+        raise OSError(f"could not swap in the log {fresh} at {path}")
+    if had:
+        fs.delete(to(old), True)
     return path
 
 
@@ -138,12 +177,16 @@ def load_model(path: str):
 
 
 def read_with_errors(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
-    """(documents, errors). Files are read as bytes and decoded per row, so a
-    file that is not valid UTF-8 becomes an error row instead of failing the job."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(folder))
-    decoded = raw.select("path", F.col("modificationTime").alias("modified_at"),
-                         F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    """(documents, errors). Files are read as bytes and decoded per row: a file
+    that is not valid UTF-8 becomes an error row instead of failing the job, and so
+    does a listed file that reading gave nothing for (removed, truncated, no access)."""
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+           .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder))
+    decoded = _as_text(raw)
     ok = decoded.filter(F.col("text").isNotNull())
     bad = decoded.filter(F.col("text").isNull()).select("path", F.lit("not valid UTF-8 text").alias("error"))
-    return ok, bad
+    lost = (file_listing(spark, folder, glob).select("path")
+            .join(raw.filter(F.col("content").isNotNull()).select(F.col("path").alias("__read")),
+                  F.col("path") == F.col("__read"), "left_anti")
+            .select("path", F.lit("could not be read").alias("error")))
+    return ok, bad.unionByName(lost)

@@ -2,8 +2,7 @@
 
 ST5 keeps a manifest ``(path, modified_at)`` next to the index: each run
 lists the folder, keeps files that are new or newer than the manifest,
-chunks and embeds only those, replaces their old rows and writes new index
-and manifest versions. (The streaming file source remembers names, not
+chunks and embeds only those, and writes their rows and a new manifest version. (The streaming file source remembers names, not
 times, so a file rewritten under the same name would be missed by it.)
 """
 
@@ -11,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskpass.operators.text import chunk_windows
 from deskpass.operators.vectors import embed_texts
@@ -19,30 +19,40 @@ from deskpass.sources import files
 
 
 def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int,
-                  glob: str = "*.txt") -> tuple[DataFrame, DataFrame]:
-    """ST5: one incremental indexing run; returns (index, changed files) of this version.
+                  glob: str = "*.txt") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ST5: one incremental indexing run; returns (index, indexed files, errors) of this version.
 
-    ``state_dir/index/v=<n>`` and ``state_dir/manifest/v=<n>`` hold the versions;
-    run ``version`` reads version ``version-1``.
+    Only files that are new or changed are read: the scan is cut by the earliest
+    change, then by path. Their chunks are written to ``state_dir/index/version=<n>``,
+    earlier versions stay as they are, and the manifest says which version holds a
+    file's rows. A file enters the manifest only once it was read, so what can't be
+    read is reported and tried again by the next run.
     """
-    prev_manifest = f"{state_dir}/manifest/v={version - 1}"
-    prev_index = f"{state_dir}/index/v={version - 1}"
-    manifest = (spark.read.parquet(prev_manifest) if files._exists(spark, prev_manifest)
+    prev = f"{state_dir}/manifest/v={version - 1}"
+    manifest = (spark.read.schema(MANIFEST).parquet(prev) if files._exists(spark, prev)
                 else spark.createDataFrame([], MANIFEST))
-    listing = files.file_listing(spark, folder, glob)
-    changed = files.changed_files(listing, manifest)
-    docs = files.read_corpus(spark, folder, glob).join(changed.select("path"), "path", "left_semi")
-    chunks = chunk_windows(docs, "text").select(
-        "path", "modified_at", "chunk_no", F.col("chunk").alias("text"))
+    changed = files.changed_files(files.file_listing(spark, folder, glob), manifest)
+    since = changed.agg(F.min("modified_at")).first()[0]
+    ok, bad = files.read_with_errors(spark, folder, glob)
+    if since is not None:
+        ok = ok.filter(F.col("modified_at") >= F.lit(since))
+    docs = ok.join(changed.select("path"), "path", "left_semi")
+    bad = bad.join(changed.select("path"), "path", "left_semi")
+    chunks = chunk_windows(docs, "text").select("path", "modified_at", "chunk_no", F.col("chunk").alias("text"))
     fresh = embed_texts(chunks, "text", "embedding")
-    if files._exists(spark, prev_index):
-        old = spark.read.parquet(prev_index).join(changed.select("path"), "path", "left_anti")
-        index = old.unionByName(fresh)
-    else:
-        index = fresh
-    index.write.mode("overwrite").parquet(f"{state_dir}/index/v={version}")
-    files.update_manifest(manifest, changed).write.mode("overwrite").parquet(f"{state_dir}/manifest/v={version}")
-    return spark.read.parquet(f"{state_dir}/index/v={version}"), changed
+    fresh.write.mode("overwrite").parquet(f"{state_dir}/index/version={version}")
+    done = docs.select("path", "modified_at")
+    new = f"{state_dir}/manifest/v={version}"
+    files.update_manifest(manifest, done, version).write.mode("overwrite").parquet(new)
+    known = spark.read.schema(MANIFEST).parquet(new)
+    index = current_index(spark, state_dir, known, fresh.schema)
+    return index, known.filter(F.col("version") == version), bad
+
+
+def current_index(spark: SparkSession, state_dir: str, manifest: DataFrame, schema) -> DataFrame:
+    """The rows of every file's latest version."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(f"{state_dir}/index")
+    return rows.join(manifest.select("path", "version"), ["path", "version"], "left_semi").drop("version")
 
 
 def collect_training(stream: DataFrame, table: str, checkpoint: str) -> None:

@@ -16,12 +16,15 @@ def test_missing_index_is_an_error(spark):
         FS.load_index(spark, scratch_path(spark, "never-built"))
 
 
-def test_bad_files_go_to_errors(spark):
-    out = QUERIES["S13_bad_files_to_errors"](spark, SF_SMALL).collect()
-    bad = [r for r in out if r.error]
-    good = [r for r in out if not r.error]
-    assert bad and good
-    assert all("latin1" in r.path for r in bad) and all("good" in r.path for r in good)
+def test_bad_files_go_to_errors(spark, tmp_path):
+    import os
+    names = ["plain.txt", "with space.txt", "한글 이름.txt", "100%25.txt"]
+    for n in names:
+        (tmp_path / n).write_text("text 글", encoding="utf-8")
+    (tmp_path / "bad.txt").write_bytes("é".encode("latin-1"))
+    ok, bad = FS.read_with_errors(spark, str(tmp_path), "*.txt")
+    assert sorted(os.path.basename(r.path) for r in ok.collect()) == sorted(names)
+    assert [(os.path.basename(r.path), r.error) for r in bad.collect()] == [("bad.txt", "not valid UTF-8 text")]
 
 
 def test_day_partition_is_pruned(spark):
@@ -44,6 +47,11 @@ def test_load_or_create_log_empty(spark):
     assert df.count() == 0 and df.columns == [f.name for f in FS.BATCH_LOG.fields]
 
 
-def test_changed_files_after_manifest(spark):
-    rows = QUERIES["S3_changed_files"](spark, SF_SMALL).groupBy("state").count().collect()
-    assert {r.state: r["count"] for r in rows} == {"new": 8}
+def test_log_is_created_appended_and_swapped(spark):
+    path = f"{scratch_path(spark, 'cycle')}/log"
+    for n in range(3):
+        log = FS.load_or_create_log(spark, path)
+        assert log.count() == n
+        row = spark.createDataFrame([(str(n), "c", "two\nlines ~n\r\\", "승인", None, "t")], FS.BATCH_LOG)
+        FS.save_log(log.unionByName(row), path)
+    assert {r.reason for r in FS.read_log(spark, path).collect()} == {"two\nlines ~n\r\\"}

@@ -91,3 +91,28 @@ def test_parse_decision(spark, text, decision, reason):
     df = spark.createDataFrame([(text,)], "t string")
     r = df.select(parse_decision("t").alias("p")).collect()[0].p
     assert (r.decision, r.reject_reason) == (decision, reason)
+
+
+def test_pattern_terms_equal_rlike(spark):
+    texts = ["3층 회의", "d층", "1회의실", "제1회의실", "b", "ab", "5층", "[0-9]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for terms in (["\\d+층"], ["[0-9]{1,2}층"], ["a|b"], ["(제)?1회의실"], ["[0-9]+층", "회의"]):
+        got = df.select(RU.match_any("t", terms), F.col("t").rlike(RU.alt(terms))).collect()
+        assert all(a == b for a, b in got)
+
+
+def test_names_may_be_any_iterable(spark):
+    df = spark.createDataFrame([("(업무)회의", "고도화 미팅, 우드룸, 김새롬")], "category string, reason string")
+    for _ in range(2):
+        out = RU.decide(df, "three", names=(n for n in ["김새롬"])).first()
+        assert out.decision == "승인"
+
+
+def test_each_model_beats_always_approving(spark):
+    from deskpass.operators import ml as ML
+    rows = [(i, f"request {'good fine' if i % 5 else 'bad wrong'} {i % 7}", float(i % 5 != 0), None if i % 2 else "(업무)회의",
+             float(i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string, label double, category string, flag double")
+    for p in (ML.text_forest("t"), ML.text_logistic("t", n_rows=200), ML.feature_forest("category", ["flag"]), ML.text_boosted("t", max_iter=3)):
+        out = ML.predict(p.fit(df), df, ["label"]).collect()
+        assert len(out) == 200 and all(r.label == r.prediction for r in out)

@@ -75,3 +75,45 @@ def test_session_memory_keeps_last_n_of_a_busy_session():
     out = list(handler((1,), iter([more]), state))
     assert list(state.get[0]) == [19_992, 19_994, 19_996, 19_998, 20_000]
     assert out[0]["context"][0].splitlines()[-1] == "[대화 5] 질문: q+, 답변: a+"
+
+
+def test_first_batch_without_a_reject(spark):
+    from pyspark.sql import functions as F
+
+    from deskpass.session import scratch_path
+    from deskpass.streaming import decisions as SD
+    base = scratch_path(spark, "no-reject")
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    rows = [spark.createDataFrame([(1, 7, "click", None)], schema), spark.createDataFrame([(2, 7, "error", None)], schema),
+            spark.createDataFrame([(3, 7, "click", None), (4, None, "click", None)], schema), spark.createDataFrame([], schema)]
+    for i, b in enumerate(rows):
+        SD.skip_rejected_batch(spark, b, i, f"{base}/out", f"{base}/rejects")
+    assert sorted(r[0] for r in spark.read.parquet(f"{base}/out").select("event_id").collect()) == [1, 2, 4]
+    assert spark.read.parquet(f"{base}/rejects").filter(F.col("batch_id") == 1).count() == 1
+
+
+def test_every_file_is_indexed_or_reported(spark, tmp_path):
+    import os
+    import time
+
+    from deskpass.streaming.indexing import index_changed
+    folder, state = tmp_path / "docs", str(tmp_path / "state")
+    folder.mkdir()
+    names = ["plain.txt", "with space.txt", "한글 이름.txt", "100%25.txt"]
+    for n in names:
+        (folder / n).write_text("some words in a file", encoding="utf-8")
+    (folder / "bad.txt").write_bytes("é".encode("latin-1"))
+    short = lambda df: sorted(os.path.basename(r.path) for r in df.select("path").distinct().collect())
+    index, done, bad = index_changed(spark, str(folder), state, 1)
+    assert short(index) == short(done) == sorted(names) and short(bad) == ["bad.txt"]
+    later = time.time() + 60
+    (folder / "한글 이름.txt").write_text("changed words", encoding="utf-8")
+    os.utime(folder / "한글 이름.txt", (later, later))
+    (folder / "bad.txt").write_text("mended", encoding="utf-8")
+    (folder / "added.txt").write_text("new file", encoding="utf-8")
+    index, done, bad = index_changed(spark, str(folder), state, 2)
+    assert short(done) == ["added.txt", "bad.txt", "한글 이름.txt"] and not bad.count()
+    assert short(index) == sorted([*names, "bad.txt", "added.txt"])
+    assert [r.text for r in index.collect() if "한글" in r.path] == ["changed words"]
+    index, done, _ = index_changed(spark, str(folder), state, 3)
+    assert not done.count() and len(short(index)) == 6
