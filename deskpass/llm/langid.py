@@ -160,7 +160,8 @@ def fold_of(id_col: str) -> Column:
 def training_words(docs: DataFrame, id_col: str, text: str, lang: str, sample_docs: int) -> DataFrame:
     """(lang, word, n) over about ``sample_docs`` documents a language, by hash of the id, off the held-out fold."""
     labelled = docs.where((fold_of(id_col) != HELD_OUT_FOLD) & col(lang).isNotNull() & col(text).isNotNull())
-    sizes = labelled.groupBy(col(lang).alias("s_lang")).agg(F.count(F.lit(1)).alias("docs"))
+    # written first: a table of known (small) size is broadcast, and texts are not shuffled by language
+    sizes = stage(labelled.groupBy(col(lang).alias("s_lang")).agg(F.count(F.lit(1)).alias("docs")), "langid-sizes")
     share = F.pmod(F.xxhash64(col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     picked = (labelled.select(col(lang).alias("lang"), col(text).cast("string").alias("text"), share.alias("share"))
               .join(sizes, F.col("lang") == F.col("s_lang")).where(F.col("share") * F.col("docs") < sample_docs))
