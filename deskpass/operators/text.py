@@ -8,14 +8,11 @@ or split where a very common term makes one partition large.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskpass.functions.text import tokens
-from deskpass.schema import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
+from deskpass.schema import CHUNK_OVERLAP, CHUNK_SIZE
 
 
 def chunk_windows(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
@@ -50,72 +47,31 @@ def chunk_windows(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
 
 # --- T2: separator-aware splitting -----------------------------------------
 
-def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    """Greedily pack pieces (joined by ``sep``) into chunks <= size, carrying up to
-    ``overlap`` characters of trailing pieces into the next chunk."""
-    out: list[str] = []
-    cur: list[str] = []
-    total = 0
-    slen = len(sep)
-    for p in pieces:
-        add = len(p) + (slen if cur else 0)
-        if total + add > size and cur:
-            joined = sep.join(cur).strip()
-            if joined:
-                out.append(joined)
-            while cur and (total > overlap or total + len(p) + (slen if cur else 0) > size):
-                total -= len(cur[0]) + (slen if len(cur) > 1 else 0)
-                cur.pop(0)
-        cur.append(p)
-        total += len(p) + (slen if len(cur) > 1 else 0)
-    joined = sep.join(cur).strip()
-    if joined:
-        out.append(joined)
-    return out
-
-
-def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Split on the first separator present (paragraph, line, space, then characters),
-    recursing into pieces still longer than ``size``. No chunk exceeds ``size``."""
-    if text is None:
-        return []
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, rest = s, list(separators[i + 1:])
-            break
-    pieces = text.split(sep) if sep else list(text)
-    chunks: list[str] = []
-    small: list[str] = []
-    for p in pieces:
-        if len(p) < size:
-            small.append(p)
-            continue
-        if small:
-            chunks.extend(_merge(small, sep, size, overlap))
-            small = []
-        chunks.extend(split_recursive(p, size, overlap, rest) if rest else [p])
-    if small:
-        chunks.extend(_merge(small, sep, size, overlap))
-    return chunks
-
-
-def split_column(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
-    """T2 as an Arrow-batched column function: text → array of chunks."""
-
-    @F.pandas_udf("array<string>")
-    def _split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_recursive(t, size, overlap))
-
-    return _split
+def _body_pattern(longest: int) -> str:
+    """At most ``longest`` characters: the rest of the text if it fits, else up to the last
+    paragraph break, else the last line break, else the last white space, else a plain cut."""
+    run = f".{{1,{longest}}}"
+    return rf"(?s){run}\z|{run}(?=\n\n)|{run}(?=\n)|{run}(?=\s)|{run}"
 
 
 def chunk_separators(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
                      overlap: int = CHUNK_OVERLAP, out: str = "chunk") -> DataFrame:
-    """One row per separator-aware chunk with ``chunk_no``."""
-    arr = split_column(size, overlap)(F.col(text))
-    return df.select("*", F.posexplode(arr).alias("chunk_no", out))
+    """One row per separator-aware chunk with ``chunk_no``.
+
+    One regex pass cuts the text into bodies of at most ``size - overlap`` characters,
+    each at the best break within reach; together they are the text. A chunk is a body
+    after the last whole words of the body before it (at most ``overlap`` characters),
+    without white space at its ends, so no chunk is longer than ``size``. Null and
+    blank texts have no chunks."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than the chunk size")
+    bodies = F.regexp_extract_all(F.col(text), F.lit(_body_pattern(size - overlap)), F.lit(0))
+    bodies = F.filter(bodies, lambda b: b.rlike(r"\S"))
+    d = df.select("*", bodies.alias("__bodies")).select("*", F.posexplode("__bodies").alias("chunk_no", "__body"))
+    before = F.get("__bodies", F.col("chunk_no") - 1)
+    tail = F.regexp_extract(before, rf"(?s)\s(\S.{{0,{overlap - 1}}})\z", 1) if overlap else F.lit("")
+    chunk = F.regexp_replace(F.concat(F.coalesce(tail, F.lit("")), "__body"), r"^\s+|\s+$", "")
+    return d.withColumn(out, chunk).drop("__body", "__bodies")
 
 
 # --- T3/T4/A11: TF-IDF in long form -----------------------------------------

@@ -76,7 +76,6 @@ NULL_TEXT = "nan"
 # Chunk settings.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 CHUNK_OVERLAP_SMALL = 50
-SEPARATORS = ["\n\n", "\n", " ", ""]
 
 # Retrieval and memory sizes.
 TOP_K = 3

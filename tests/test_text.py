@@ -45,15 +45,22 @@ def test_windows_match_slices_for_any_overlap(spark):
         assert got == want, (size, overlap)
 
 
-def test_separator_chunks():
-    text = ("para one line one\nline two " * 40 + "\n\n" + "word " * 500 + "x" * 2500)
-    chunks = TX.split_recursive(text, 300, 50)
-    assert all(0 < len(c) <= 300 for c in chunks)
-    assert all(c in text for c in chunks)
-    # every non-space character of the text appears in some chunk, in order
-    joined = "".join(chunks)
-    assert set(text.replace(" ", "").replace("\n", "")) <= set(joined)
-    assert sum(len(c) for c in chunks) >= len(text.replace("\n\n", "")) * 0.9
+def test_separator_chunks(spark):
+    text = ("para one line one\nline two " * 40 + "\n\n" + "word " * 500 + "x" * 2500 + " 끝\U0001f600")
+    df = spark.createDataFrame([(1, text), (2, None), (3, " \n "), (4, "short")], "id long, text string")
+    got = {}
+    for r in TX.chunk_separators(df, "text", 300, 50).orderBy("id", "chunk_no").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert set(got) == {1, 4} and got[4] == ["short"]
+    at = 0
+    for c in got[1]:
+        assert 0 < len(c) <= 300 and c == c.strip()
+        after = at + len(text[at:]) - len(text[at:].lstrip())  # only white space may lie between chunks
+        starts = [k for k in range(max(0, at - 51), after + 1) if text.startswith(c, k)]
+        assert starts
+        at = max(starts) + len(c)
+    assert at == len(text)
+    assert all(c.endswith(("two", "one")) for c in got[1][:3])
 
 
 def test_separator_chunks_spark(spark):
