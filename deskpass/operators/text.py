@@ -50,8 +50,9 @@ def chunk_windows(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
 def _body_pattern(longest: int) -> str:
     """At most ``longest`` characters: the rest of the text if it fits, else up to the last
     paragraph break, else the last line break, else the last white space, else a plain cut."""
-    run = f".{{1,{longest}}}"
-    return rf"(?s){run}\z|{run}(?=\n\n)|{run}(?=\n)|{run}(?=\s)|{run}"
+    run = rf".{{0,{longest - 1}}}\S"
+    return (rf"(?s).{{1,{longest}}}\z|{run}(?=[^\S\n]{{0,8}}\n\n)|{run}(?=[^\S\n]{{0,8}}\n)|{run}(?=\s)"
+            rf"|.{{1,{longest}}}")
 
 
 def chunk_separators(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
