@@ -189,6 +189,30 @@ def test_edit_distance_equals_the_table():
             left, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-        for limit in range(13):
-            assert substring.within(a, b, limit) == (row[-1] <= limit)
-    assert substring.similar(b"a b c d e", b"a b c d f") and not substring.similar(b"a b c d", b"a b c x")
+        for cap in range(13):
+            assert substring.distance(a, b, cap) == min(row[-1], cap + 1)
+    assert substring._limit(5, 4, 0.8) == 1 and substring._limit(4, 4, 0.8) == 0
+
+
+def test_lines_of_a_key_are_linked_as_by_all_pairs(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(6):
+        base = [rng.choice("abcdefgh") for _ in range(20)]
+        for _ in range(9):
+            t = list(base)
+            for _ in range(rng.randint(0, 7)):
+                t[rng.randrange(20)] = rng.choice("abcdefgh")
+            texts.append(t)
+    rows = [(i, 0, 20, i, k) for i in range(len(texts)) for k in (1, 2 + i % 2)]
+    lines = spark.createDataFrame(rows, "doc_id long, pos int, n int, cls long, key long")
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if substring.distance(a, b, 4) <= 4 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    got = {r["cls"]: r["root"] for r in substring.class_roots(lines, d, "doc_id", "text", 0.8).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(root))
+    assert 6 <= len(set(root)) < len(texts)
