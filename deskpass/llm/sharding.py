@@ -42,14 +42,14 @@ def _prefix(depth: int) -> Column:
     return F.struct(F.col("h1").alias("a"), F.shiftright("h2", 2 * KEY_BITS - depth).alias("b"))
 
 
-def _shorten(depth: int, to: int) -> Column:
+def _shorten(depth: int, to: Column) -> Column:
     """A prefix p of ``depth`` bits, cut to ``to`` bits."""
+    right = lambda x, n: F.call_function("shiftright", x, n.cast("int"))
     a, b = F.col("p.a"), F.col("p.b")
     if depth <= KEY_BITS:
-        return F.struct(F.shiftright(a, depth - to).alias("a"), b.alias("b"))
-    if to >= KEY_BITS:
-        return F.struct(a.alias("a"), F.shiftright(b, depth - to).alias("b"))
-    return F.struct(F.shiftright(a, KEY_BITS - to).alias("a"), F.lit(0).cast("long").alias("b"))
+        return F.struct(right(a, depth - to).alias("a"), b.alias("b"))
+    return (F.when(to >= KEY_BITS, F.struct(a.alias("a"), right(b, depth - to).alias("b")))
+            .otherwise(F.struct(right(a, KEY_BITS - to).alias("a"), F.lit(0).cast("long").alias("b"))))
 
 
 def _name(p: str, depth: Column) -> Column:
@@ -66,14 +66,13 @@ def directory(rows: DataFrame, limit: int, start: int, depth: int) -> tuple[Data
     is found (p, shard, shard_bytes, shard_rows, depth), and those that must be split further (p)."""
     sizes = stage(rows.groupBy(_prefix(depth).alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")),
                   "shard-sizes")
-    levels = None
-    for d in range(start, depth + 1):
-        cut = sizes.groupBy(_shorten(depth, d).alias("q")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-        cut = cut.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)).withColumn("depth", F.lit(d))
-        own = sizes.select("p", _shorten(depth, d).alias("q")).join(cut, "q")
-        own = own.select("p", "q", "shard_bytes", "shard_rows", "depth")
-        levels = own if levels is None else levels.unionByName(own)
-    first = levels.groupBy("p").agg(F.min_by(F.struct("q", "shard_bytes", "shard_rows", "depth"), "depth").alias("x"))
+    # every prefix at every depth up to its own: a few rows a shard, whatever the number of rows
+    every = sizes.select("p", "bytes", "rows", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"))
+    every = every.withColumn("q", _shorten(depth, F.col("depth")))
+    fits = (every.groupBy("depth", "q").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
+            .where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)))
+    own = every.select("p", "depth", "q").join(fits, ["depth", "q"])
+    first = own.groupBy("p").agg(F.min_by(F.struct("q", "shard_bytes", "shard_rows", "depth"), "depth").alias("x"))
     found = stage(first.select("p", _name("x.q", F.col("x.depth")).alias("shard"), "x.shard_bytes", "x.shard_rows", "x.depth"),
                   "shard-directory")
     return found, sizes.select("p").join(found.select("p"), "p", "left_anti")
