@@ -216,3 +216,30 @@ def test_lines_of_a_key_are_linked_as_by_all_pairs(spark):
     got = {r["cls"]: r["root"] for r in substring.class_roots(lines, d, "doc_id", "text", 0.8).collect()}
     assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(root))
     assert 6 <= len(set(root)) < len(texts)
+
+
+def test_edited_passages_inside_other_texts_are_found(spark):
+    """One changed word in every 23: no window of 24 words is the same in both texts."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(12):
+        passage = prose(rng, 92)
+        edited = [f"changed{k}" if k % 23 == 11 else w for k, w in enumerate(passage)]
+        for k, p in enumerate((passage, edited)):
+            rows.append((2 * i + k, " ".join(prose(rng, 70) + p + prose(rng, 70))))
+    rows.append((30, " ".join(prose(rng, 232))))
+    got = substring.repeated_passages(docs(spark, rows)).collect()
+    assert {r["doc_id"] for r in got} == set(range(24))
+    assert all(r["first_doc_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_windows_a_word_apart_are_no_copies(spark):
+    """In title case a window begins at every word; what surrounds a shared passage is not part of it."""
+    rng = random.Random(32)
+    title = lambda n: [w.strip(".").capitalize() for w in prose(rng, n)]
+    passage = title(40)
+    d = docs(spark, [(1, " ".join(title(90) + passage + title(90))), (2, " ".join(title(60) + passage + title(60)))])
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring.repeated_passages(d).collect()}
+    assert got.keys() == {1, 2}
+    for i, at in ((1, 90), (2, 60)):
+        assert at - 4 <= got[i][0] <= at + 4 and at + 36 <= got[i][1] <= at + 44
