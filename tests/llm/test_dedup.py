@@ -243,3 +243,21 @@ def test_windows_a_word_apart_are_no_copies(spark):
     assert got.keys() == {1, 2}
     for i, at in ((1, 90), (2, 60)):
         assert at - 4 <= got[i][0] <= at + 4 and at + 36 <= got[i][1] <= at + 44
+
+
+def test_keys_reach_what_the_edit_distance_accepts():
+    rng = random.Random(33)
+    for n in (24, 50, 100):
+        met = 0
+        for _ in range(200):
+            a = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), substring._limit(n, n, substring.LEAST)):
+                b[k] = f"x{rng.getrandbits(40)}"
+            keys = []
+            for words in (a, b):
+                *_, key, line = substring.paragraphs_of(" ".join(words))
+                keys.append(set(key[line].tolist()))
+            met += bool(keys[0] & keys[1])
+        assert met >= 190
+    assert substring.paragraphs_of("one two " * 20)[4].any()  # lines that repeat themselves have keys too
