@@ -14,9 +14,11 @@ as much work per task as any other. HTML is never shuffled for inference. Each t
 term is judged once per wrapper; pages are then matched against their host's
 wrapper and the texts under kept terms returned.
 
-Kept: texts inside ``article`` or ``main`` (where the host has such), else texts that
-vary between pages; never what lies in navigation, headers, footers, asides, forms,
-adverts, notices, comments, scripts or styles.
+Kept: texts inside ``article`` or ``main`` (where the host has such), else all texts but
+those on which several pages agree (a text seen on one page only is that page's own); never
+what lies in navigation, headers, footers, asides, forms, adverts, notices, comments, scripts
+or styles. A class, id or role marks these as a whole ("share", "cookie-banner", not
+"share-price"); a page with nothing else keeps what only such marks would have dropped.
 
 Defined cases: null html gives the empty string; a null or odd URL belongs to the
 host ""; a page alone on its host, or without anything that the wrapper keeps, is its own
@@ -60,6 +62,10 @@ DROPPED_CUES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adver
                 "cookie", "cookies", "consent", "notice", "banner", "popup", "modal", "newsletter", "subscribe",
                 "comment", "comments", "disqus", "share", "sharing", "social", "related", "recommended", "widget",
                 "login", "search", "pagination", "pager", "contentinfo", "complementary", "alert", "hidden"}
+# Words that may stand beside them in one class, id or role without changing its meaning.
+BESIDE_CUES = {"site", "page", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "side", "bar", "box",
+               "container", "wrapper", "wrap", "inner", "outer", "block", "section", "area", "list", "item", "items", "link",
+               "links", "button", "buttons", "icons", "form", "posts", "articles", "footer", "header", "content", "0"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -68,7 +74,9 @@ _TOKEN = re.compile(
 _CUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 
-Term = tuple  # (content, repeated, optional, constant): content a token or a tuple of terms
+# content: a token or a tuple of terms; constant: 0 if texts differ, else their checksum with SEVERAL if pages agree on it
+Term = tuple  # (content, repeated, optional, constant)
+SEVERAL = 1 << 33
 
 
 def texts(page: str) -> Iterator[tuple[str, str | None]]:
@@ -121,7 +129,7 @@ def texts(page: str) -> Iterator[tuple[str, str | None]]:
 
 
 def _cues(attrs: str) -> str:
-    words = [w for m in _CUE.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())]
+    words = [re.sub(r"[^a-z0-9]+", "-", w).strip("-") for m in _CUE.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
     if _HIDDEN.search(_CUE.sub("", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))):
         words.append("hidden")
     return "".join("." + re.sub(r"\d+", "0", w) for w in dict.fromkeys(words) if w)
@@ -133,14 +141,14 @@ def _key(term: Term):
     return c if isinstance(c, str) else tuple(_key(t) for t in c) if len(c) > 1 else _key(c[0])
 
 
-def _merge(a: Term, b: Term) -> Term:
-    """Two terms with equal keys as one."""
+def _merge(a: Term, b: Term, seen: int = 0) -> Term:
+    """Two terms with equal keys as one; ``seen``: what it adds to a constant (``SEVERAL`` for terms of different pages)."""
     while not isinstance(a[0], str) and len(a[0]) == 1:
         a = (a[0][0][0], a[1] or a[0][0][1], a[2] or a[0][0][2], a[0][0][3])
     while not isinstance(b[0], str) and len(b[0]) == 1:
         b = (b[0][0][0], b[1] or b[0][0][1], b[2] or b[0][0][2], b[0][0][3])
-    content = a[0] if isinstance(a[0], str) else tuple(_merge(x, y) for x, y in zip(a[0], b[0]))
-    return content, a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else 0
+    content = a[0] if isinstance(a[0], str) else tuple(_merge(x, y, seen) for x, y in zip(a[0], b[0]))
+    return content, a[1] or b[1], a[2] or b[2], a[3] | b[3] | seen if a[3] and (a[3] | SEVERAL) == (b[3] | SEVERAL) else 0
 
 
 def fold(terms: list[Term]) -> tuple[list[Term], list[list[int]]]:
@@ -198,14 +206,14 @@ def align(a: list[Term], b: list[Term]) -> list[Term]:
     """The expression that covers both: matches merged, the rest optional."""
     ka, kb = [_key(t) for t in a], [_key(t) for t in b]
     if ka == kb:
-        return [_merge(x, y) for x, y in zip(a, b)]
+        return [_merge(x, y, SEVERAL) for x, y in zip(a, b)]
     ga, gb = _groups(a), _groups(b)
     a = _gather(a, gb - ga, [[]] * len(a))[0]
     b = _gather(b, ga - gb, [[]] * len(b))[0]
     out: list[Term] = []
     for op, i, j, k, l in SequenceMatcher(None, [_key(t) for t in a], [_key(t) for t in b], False).get_opcodes():
         if op == "equal":
-            out += [_merge(x, y) for x, y in zip(a[i:j], b[k:l])]
+            out += [_merge(x, y, SEVERAL) for x, y in zip(a[i:j], b[k:l])]
         else:
             out += [(t[0], t[1], True, t[3]) for t in a[i:j] + b[k:l]]
     return fold(out)[0]
@@ -216,13 +224,21 @@ def _kinds(token: str) -> list[tuple[str, set[str]]]:
 
 
 def _article(token: str) -> bool:
-    return any(k in ("article", "main") or "main" in cues and k != "body" for k, cues in _kinds(token)[:-1])
+    return any(k in ("article", "main") or k != "body" and any("main" in c.split("-") for c in cues) for k, cues in _kinds(token)[:-1])
 
 
-def _boilerplate(token: str) -> bool:
+@lru_cache(65536)
+def _drops(cue: str) -> bool:
+    """Whether a class, id or role as a whole marks what is not the article."""
+    words = set(cue.split("-"))
+    return bool(words & DROPPED_CUES) and words <= DROPPED_CUES | BESIDE_CUES
+
+
+def _boilerplate(token: str, by_cues: bool = True) -> bool:
     inside = False
     for kind, cues in _kinds(token)[:-1]:
-        if kind in DROPPED or kind not in ("html", "body") and cues & DROPPED_CUES or kind == "header" and not inside:
+        marked = by_cues and kind not in ("html", "body") and any(map(_drops, cues))
+        if kind in DROPPED or marked or kind == "header" and not inside:
             return True
         inside = inside or kind in ("article", "main")
     return False
@@ -232,7 +248,7 @@ def _texts_of(term: Term) -> Iterator[tuple[str, bool]]:
     """(text token, is it a slot) of a term and its groups."""
     if isinstance(term[0], str):
         if term[0].endswith("#"):
-            yield term[0], not term[3]
+            yield term[0], not term[3] & SEVERAL
     else:
         for t in term[0]:
             for token, slot in _texts_of(t):
@@ -289,6 +305,7 @@ def extract(page: str | None, wrapper: str | None, pages: int = 1) -> str:
         keep.update(p for p in positions if tokens[p][1] is not None and tokens[p][0] in allowed)
     if not keep:  # a page unlike its host's others (without their article) speaks for itself
         own_texts = [p for p, (t, x) in enumerate(tokens) if x is not None and not _boilerplate(t)]
+        own_texts = own_texts or [p for p, (t, x) in enumerate(tokens) if x is not None and not _boilerplate(t, False)]
         keep = {p for p in own_texts if _article(tokens[p][0])} or set(own_texts)
     return "\n\n".join(tokens[p][1] for p in sorted(keep))
 

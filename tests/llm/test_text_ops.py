@@ -133,6 +133,25 @@ def test_wrapper_without_article_keeps_what_varies():
     assert html.unescape("&amp") == "&"
 
 
+def test_what_one_page_has_is_not_boilerplate():
+    bodies = ["<h2>One</h2><p>First</p><blockquote><p>Once said</p></blockquote><p>More</p>", "<h2>Two</h2><p>Second</p><pre>x = 1</pre>",
+              "<h2>Three</h2><p>Third</p><table><tr><td>cell</td></tr></table>", "<h2>Four</h2><p>Fourth</p><h3>Part</h3><p>Last</p>"]
+    pages = [f"<body><div class=top>Shop</div><div>{b}</div><p>Imprint</p></body>" for b in bodies]
+    terms = None
+    for p in pages:
+        own = wrappers.fold(wrappers.page_terms(list(wrappers.texts(p))))[0]
+        terms = wrappers.align(terms, own) if terms else own
+    got = [wrappers.extract(p, wrappers.dump(terms), len(pages)) for p in pages]
+    assert got == ["One\n\nFirst\n\nOnce said\n\nMore", "Two\n\nSecond\n\nx = 1", "Three\n\nThird\n\ncell", "Four\n\nFourth\n\nPart\n\nLast"]
+
+
+def test_cues_are_whole_classes():
+    page = ("<body><div class='share-price'><p>Up 3</p></div><div class='search-results-explained'><p>How</p></div>"
+            "<div class='cookie-banner'><p>Accept</p></div><div id=site-nav><p>Home</p></div></body>")
+    assert wrappers.extract(page, None) == "Up 3\n\nHow"
+    assert wrappers.extract("<body><nav>Home</nav><div class=comments><p>All there is</p></div></body>", None) == "All there is"
+
+
 def test_patience_alignment():
     a, b = "x the mit license is the best license".split(), "the mit license the license".split()
     pairs = licenses.align(a, b)
