@@ -66,16 +66,29 @@ EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@"
 SECRET_HEAD = r"(?i:\b(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)"
 SECRET = SECRET_HEAD + r"[A-Za-z0-9_+/=-]{8,}"
 IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])"
-IBAN = (r"(?<![\p{L}\p{N}])(?:DE[0-9]{20}|FR[0-9]{12}[A-Z0-9]{11}[0-9]{2}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}"
-        r"|IT[0-9]{2}[A-Z][0-9]{10}[A-Z0-9]{12}|NL[0-9]{2}[A-Z]{4}[0-9]{10}|AT[0-9]{18}|BE[0-9]{14}|CH[0-9]{7}[A-Z0-9]{12})(?![\p{L}\p{N}])")
-CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}|3[47][0-9]{13})(?![\p{L}\p{N}])"
+_IP6 = "[0-9A-Fa-f]{1,4}"
+# whole, or with :: in place of groups (at least two groups and a colon more, so not a time or "a::b")
+IP6 = (rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_IP6}:){{7}}{_IP6}|(?=[0-9A-Fa-f]*[0-9][0-9A-Fa-f:]*(?![\p{{L}}\p{{N}}]))(?:{_IP6}:){{1,6}}(?::{_IP6}){{1,6}})"
+       r"(?![\p{L}\p{N}:])")
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+                30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN = (r"(?<![\p{L}\p{N}])(?:" + "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ \u00a0-]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![\p{L}\p{N}])")
+CARD = (r"(?<![\p{L}\p{N}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}(?:[ -][0-9]{3})?|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}"
+        r"|3(?:0[0-5]|[689][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})(?![\p{L}\p{N}])")
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 PHONE = (r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
          r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![\p{L}\p{N}])"
-         r"|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}-])")
+         r"|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}-])"
+         # national: by groups of three, three and four, by pairs after 0, or 0 and an area code (8 to 12 digits)
+         r"|(?<![\p{L}\p{N}.,-]|[0-9] )(?:[2-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}"
+         r"|(?=0[0-9](?:[ /-]?[0-9]){6,10}(?![0-9]))0[0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,3})(?![\p{L}\p{N}-]|[ .,][0-9])")
 PERSON = (r"(?<![\p{L}\p{N}])" + _before(TITLES_M + TITLES_F + TITLES_N) + _NAME + r"(?:\s" + _NAME + r")?"
           + r"|\p{IsHan}{2,3}(?:" + "|".join(AFTER_M + AFTER_F) + r")|(?<!\p{IsHangul})\p{IsHangul}{2,4}" + AFTER_N[0] + r"(?!\p{IsHangul})")
-ANY = "|".join([EMAIL, SECRET, IP, IBAN, CARD, SSN, PHONE, PERSON])
+ANY = "|".join([EMAIL, SECRET, IP, IP6, IBAN, CARD, SSN, PHONE, PERSON])
 # What every entity holds, cheap to look for: most places of a text fail at the first class.
 _TITLES = TITLES_M + TITLES_F + TITLES_N
 _SIGNS = "0-9@=:先女小씨"
@@ -109,6 +122,7 @@ def _parts(m: Column) -> Column:
             .when(m.contains("@"), F.array(part("mailbox", F.substring_index(m, "@", 1), tail="@"),
                                            part("domain", F.substring_index(m, "@", -1))))
             .when(full(IP), F.array(part("ip", m)))
+            .when(full(IP6), F.array(part("ip6", m)))
             .when(full(IBAN), F.array(part("iban", m)))
             .when(full(CARD), F.array(part("card", m)))
             .when(full(SSN), F.array(part("ssn", m)))
@@ -123,7 +137,7 @@ def _parts(m: Column) -> Column:
 def _norm(kind: Column, value: Column) -> Column:
     """The value under which mentions corefer: digits of numbers, lower case of addresses."""
     return (F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-            .when(kind.isin("mailbox", "domain"), F.lower(value)).otherwise(value))
+            .when(kind.isin("mailbox", "domain", "ip6"), F.lower(value)).otherwise(value))
 
 
 def _number(h: Column, i: Column | int, below: int) -> Column:
@@ -177,7 +191,9 @@ def _candidate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     out = (F.when(kind == "secret", F.concat(_respell(norm, h, F.lit(0), hexa), longer))
            .when(kind == "mailbox", spelled)
            .when(kind == "domain", F.concat(_respell(host, h, domain_keep, no), longer, F.lit("."), tld))
-           .when(kind == "ip", ip).when(kind == "card", F.concat(card, digits))
+           .when(kind == "ip", ip)
+           .when(kind == "ip6", F.concat_ws(":", F.concat(F.lit("fd"), F.substring(h, 1, 2)), *[F.substring(h, 4 * k + 1, 4) for k in range(1, 8)]))
+           .when(kind == "card", F.concat(card, digits))
            .when(kind == "iban", F.concat(_respell(norm, h, F.lit(2), no), digits))
            .when(kind == "ssn", F.concat(_respell(norm, h, F.lit(0), no), digits))
            .when(kind == "phone", F.concat(_respell(norm, h, F.when((F.length(norm) == 11) & norm.startswith("1"), 1)

@@ -125,6 +125,24 @@ def test_pages(spark):
     assert len(w) == len({r["host"] for r in w}) and sum(r["pages"] for r in w) == len(rows) - 1
 
 
+def test_written_forms_of_numbers_are_found(spark):
+    forms = ["PL61109010140000071219812874", "SE45 5000 0000 0583 9825 7466", "GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00",
+             "NO93 8601 1117 947", "3782 822463 10005", "3056-930902-5904", "4111 1111 1111 1111", "030 12345678", "01 23 45 67 89",
+             "555 123 4567", "020 7946 0958", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567"]
+    rows = [(i, f"Write to {x}, please") for i, x in enumerate(forms)]
+    plain = ["At 12:30:45 and std::vector<a> of 12 34 56", "on 01-02-2003 or 2003-02-01, 1 000 000 people", "a::b, 10:20"]
+    rows += [(100 + i, t) for i, t in enumerate(plain)]
+    got = {r["doc_id"]: r for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), count_col="n").collect()}
+    for i, x in enumerate(forms):
+        t = got[i]["text"]
+        assert got[i]["n"] == 1 and t.startswith("Write to ") and t.endswith(", please") and x not in t
+        if ":" not in x:  # the same separators, nothing of the number left in place
+            new = t[len("Write to "):-len(", please")]
+            assert [c for c in new if not c.isalnum()] == [c for c in x if not c.isalnum()]
+            assert sum(a == b for a, b in zip(new[4:], x[4:])) < len(x) - 4
+    assert [got[100 + i]["text"] for i in range(len(plain))] == plain
+
+
 def test_wrapper_without_article_keeps_what_varies():
     make = lambda t: f"<body><div class=top>Shop</div><div><h2>{t}</h2><p>{t} text</p></div><p>Imprint</p></body>"
     a, b = (wrappers.fold(wrappers.page_terms(list(wrappers.texts(make(t)))))[0] for t in ("One", "Two"))
