@@ -8,14 +8,17 @@ in one hash join, so an item is found again when its numbers, names or units wer
 exchanged. Slots are then checked: along one alignment (document position minus item
 position), each item value must stand for one document value, the commonest; windows
 that disagree don't count. A document is contaminated by an item if at least
-``least`` of the item's different windows are matched.
+``least`` of the item's different windows are matched. Items without usable windows, or
+with fewer than ``FEW`` while others were discarded, are also looked for by windows of
+their very words (``exact_items``).
 
 The document side is exploded and joined in the task that scans it as long as Spark
 finds the benchmark's windows small enough to broadcast, and shuffled by window
 otherwise; what goes on after the join is only the matches. Whole texts count.
 
-Defined cases: null and empty texts and items have no windows; an item of fewer than
-five words, or without a usable window, matches nothing; equal texts under one id
+Defined cases: null and empty texts and items have no windows; an item of fewer than five
+words is one window of its words (of characters where a script has no spaces), so an item
+of one word is found wherever that word is; equal texts under one id
 give one row; documents without an id are judged too; items that share a canonical
 text are each reported; empty tables give no rows.
 """
@@ -30,7 +33,11 @@ from deskpass.llm.common import col, free_name, need, stage
 WORDS = 5
 LITERALS = 3
 LEAST = 0.8
+FEW = 3  # items with fewer different usable windows, while others were discarded, are looked for word by word too
 WORD_PATTERN = r"[\p{L}\p{N}]+"
+# Scripts written without spaces, whose words are characters in exact windows.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+EXACT_PATTERN = rf"[{_UNSPACED}&&[\p{{L}}\p{{N}}]]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 # Units of measure taken for each other.
 UNITS = ["mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
          "mg", "g", "kg", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons",
@@ -79,6 +86,55 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text: str
         F.array(*[F.when(F.col(f"s{i}") > 0, F.col(f"v{i}")) for i in range(WORDS)]).alias("item_values"))
 
 
+def _exact_words(text: str) -> Column:
+    """Hashes of a text's words in lower case, characters where a script has no spaces."""
+    words = F.regexp_extract_all(col(text).cast("string"), F.lit(EXACT_PATTERN), F.lit(0))
+    return F.transform(words, lambda t: F.xxhash64(F.lower(t)))
+
+
+def _exact_windows(v: Column, size: Column) -> Column:
+    """Hashes of the different windows of ``size`` words (null size or fewer words: none)."""
+    at = F.when((size > 0) & (F.size(v) >= size), F.sequence(F.lit(0), F.size(v) - size)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(v, i + 1, size))))
+
+
+def exact_items(benchmark: DataFrame, item_col: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, item_hash, size, w, n_windows): windows of the very words of items without enough template
+    windows, of ``WORDS`` words or, in shorter items, of all."""
+    need(benchmark, item_col, text)
+    key = [col(item_col).alias("item_id"), F.xxhash64(col(text).cast("string")).alias("item_hash")]
+    words = F.regexp_extract_all(col(text).cast("string"), F.lit(WORD_PATTERN), F.lit(0))
+    items = benchmark.where(col(text).isNotNull()).select(*key, F.size(words).alias("n_words"), _exact_words(text).alias("v")).dropDuplicates(
+        ["item_id", "item_hash"])
+    usable = (windows(benchmark, key, text).groupBy("item_id", "item_hash")
+              .agg(F.countDistinct("w").alias("different"), F.countDistinct("at").alias("places"))
+              .select(F.col("item_id").alias("u_id"), F.col("item_hash").alias("u_hash"), "different", "places"))
+    j = items.join(usable, F.col("item_id").eqNullSafe(F.col("u_id")) & (F.col("item_hash") == F.col("u_hash")), "left")
+    places = F.coalesce("places", F.lit(0))
+    weak = (places == 0) | (F.col("different") < FEW) & (places < F.col("n_words") - (WORDS - 1))
+    j = j.where(weak & (F.size("v") > 0)).withColumn("size", F.least(F.lit(WORDS), F.size("v")))
+    j = j.withColumn("ws", _exact_windows(F.col("v"), F.col("size")))
+    return j.select("item_id", "item_hash", "size", F.explode("ws").alias("w"), F.size("ws").alias("n_windows"))
+
+
+def _exact_hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """As ``contaminated``, by the exact windows ``items``."""
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WORDS
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
+    base = docs.select(col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), _exact_words(text).alias("v"))
+
+    def sized(k: int) -> Column:
+        return F.transform(_exact_windows(F.col("v"), F.lit(k)), lambda w: F.struct(F.lit(k).alias("size"), w.alias("w")))
+
+    every = F.concat(*map(sized, sizes))
+    own = base.select("doc_id", "text_hash", F.explode(every).alias("x")).select("doc_id", "text_hash", "x.*")
+    return (own.join(items, ["size", "w"]).groupBy("doc_id", "text_hash", "item_id", "item_hash")
+            .agg(F.first("n_windows").cast("long").alias("n_windows"), F.countDistinct("w").alias("n_matched"))
+            .where(F.col("n_matched") >= least * F.col("n_windows"))
+            .select("doc_id", "text_hash", "item_id", "n_windows", "n_matched",
+                    F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage")).distinct())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
                  item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched, coverage) of every document and item that it contains."""
@@ -115,10 +171,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     o = odd.select(*[F.col(c).alias(f"o_{c}") for c in odd.columns])
     good = hits.withColumn("shift", F.col("at") - F.col("item_at")).join(
         o, same("", "o_") & (F.col("shift") == F.col("o_shift")) & (F.col("item_at") == F.col("o_item_at")), "left_anti")
-    return (good.groupBy(*who).agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"))
+    found = (good.groupBy(*who).agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"))
             .where(F.col("n_matched") >= least * F.col("n_windows"))
             .select("doc_id", "text_hash", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_matched",
                     F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage")).distinct())
+    exact = stage(exact_items(benchmark, item_col, item_text), "decontam-exact")
+    if not exact.limit(1).count():
+        return found
+    found = stage(found, "decontam-found")
+    f = found.select(*[F.col(c).alias(f"f_{c}") for c in ("doc_id", "text_hash", "item_id")])
+    more = _exact_hits(docs, exact, id_col, text, least).join(
+        f, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("text_hash") == F.col("f_text_hash"))
+        & F.col("item_id").eqNullSafe(F.col("f_item_id")), "left_anti")
+    return found.unionByName(more)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -143,6 +143,19 @@ def test_written_forms_of_numbers_are_found(spark):
     assert [got[100 + i]["text"] for i in range(len(plain))] == plain
 
 
+def test_items_without_templates_are_found_by_their_words(spark):
+    items = [(1, "What Is The Capital City Of France And Of Spain"), (2, "12 + 7 km = 19 Alice 4 Bob 5"), (3, "quantum cat paradox"),
+             (4, "水的沸点是多少摄氏度"), (5, "東京タワーの高さは何メートルですか"), (6, "ALL OF THIS STANDS IN CAPITALS HERE"),
+             (7, "what kind of bird can fly backwards for a long time")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    rows = [(i, f"words before it stand here {t} and some more after it") for i, t in items[:3] + items[5:]]
+    rows += [(4, "前文" + items[3][1] + "后文"), (5, "まえ" + items[4][1] + "あと"), (None, "x " + items[0][1])]
+    rows += [(50, "the cat of france is a quantum paradox, 12 + 9 km"), (51, "水是多少东西"), (52, None), (53, "")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()
+    assert sorted(((r["doc_id"] or 0), r["item_id"]) for r in got) == [(0, 1), *[(i, i) for i in range(1, 8)]]
+    assert all(r["n_windows"] > 0 and r["coverage"] == 1 for r in got)
+
+
 def test_wrapper_without_article_keeps_what_varies():
     make = lambda t: f"<body><div class=top>Shop</div><div><h2>{t}</h2><p>{t} text</p></div><p>Imprint</p></body>"
     a, b = (wrappers.fold(wrappers.page_terms(list(wrappers.texts(make(t)))))[0] for t in ("One", "Two"))
