@@ -119,6 +119,23 @@ def test_chunked_ids_are_the_tokenizers(spark):
         assert np.frombuffer(e.packed(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_inside_texts_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>  y z", "<|endoftext| > no", "one two " * 900 + "<|endoftext|>end"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = Counter()
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [packing.END_ID]
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        for a, b in zip(cuts, cuts[1:]):
+            want[i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pieces(d).collect())
+    assert got == want
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["alpha", "be", "gamma", "dé", "x1"]) for _ in range(rng.choice([1, 5, 300, 900, 2500]))), i) for i in range(60)]
