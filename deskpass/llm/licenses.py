@@ -34,9 +34,32 @@ SHORT = 10   # notices of fewer words must be covered whole: one word may tell t
 SLACK = 1.5  # window length in template lengths
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-# Public licence notices by SPDX identifier.
+_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+             "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS ")
+_DEALINGS = ("BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+             "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS in the Software.")
+_BSD_DISCLAIMER = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+                   "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                   "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                   "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+                   "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+                   "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+                   "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_THIRD = (" Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+              "derived from this software without specific prior written permission.")
+
+
+def _gnu(licence: str, version: str, what: str = "program", after: str = ",") -> str:
+    return (f"This {what} is free software{':' if after == ',' else ';'} you can redistribute it and/or modify it under the terms of the "
+            f"GNU {licence} as published by the Free Software Foundation{after} either version {version} of the License, or (at your "
+            f"option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+            f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {licence} for more details.")
+
+
+# Public licence texts and notices by SPDX identifier. Of siblings, the one with the most
+# aligned words wins, then the one covered best: words that only one has decide.
 TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
            "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
@@ -56,7 +79,7 @@ TEMPLATES = {
                "GNU General Public License for more details.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
                     "that the following conditions are met: Redistributions of source code must retain the above copyright "
                     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
                     "the above copyright notice, this list of conditions and the following disclaimer in the documentation "
@@ -72,6 +95,36 @@ TEMPLATES = {
     "all-rights-reserved": "Copyright. All rights reserved.",
 }
 
+TEMPLATES |= {
+    "MIT": TEMPLATES["MIT-permission"] + " " + _WARRANTY + "OR COPYRIGHT HOLDERS " + _DEALINGS,
+    "BSD-2-Clause": TEMPLATES["BSD-conditions"] + _BSD_DISCLAIMER,
+    "BSD-3-Clause": TEMPLATES["BSD-conditions"] + _BSD_THIRD + _BSD_DISCLAIMER,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+           "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+           "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+           "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+           "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+           "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+                 "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+                 "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+                 "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+                 "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to "
+                 "be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+                 + _WARRANTY + _DEALINGS,
+    "GPL-2.0": _gnu("General Public License", "2", after=";"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "library", ";"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+               "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "ISC-notice": "Licensed under the ISC License.",
+}
+
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Patience alignment: increasing pairs (i, j) with a[i] == b[j]."""

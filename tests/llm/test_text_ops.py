@@ -190,6 +190,20 @@ def test_patience_alignment():
     assert licenses.align([], b) == [] and licenses.align(["q"], b) == []
 
 
+def test_sibling_licenses_are_told_apart():
+    known = licenses.templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        found = licenses.scan(f"Some words. {text} And more of them.", known)
+        assert [f[0] for f in found] == [name], (name, found)
+    clauses = licenses.TEMPLATES["BSD-conditions"]
+    assert licenses.TEMPLATES["BSD-2-Clause"].startswith(clauses) and "Neither the name" in licenses.TEMPLATES["BSD-3-Clause"]
+    for kind, name in (("Lesser", "LGPL"), ("Affero", "AGPL")):
+        notice = f"This work is licensed under the GNU {kind} General Public License, version 3."
+        assert [f[0] for f in licenses.scan(notice, known)] == [f"{name}-3.0-notice"]
+    old = licenses.TEMPLATES["BSD-2-Clause"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS")
+    assert [f[0] for f in licenses.scan(old, known)] == ["BSD-2-Clause"]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"].replace("obtaining", "getting")
     rows = [(1, "Ver. intro text\nReleased under the MIT License.\nmore\nReleased under the MIT license"), (2, "x " * 300 + mit + " tail words"),
