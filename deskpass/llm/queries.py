@@ -1,4 +1,4 @@
-"""Queries of the training-data operators over the driver tables (op1 to op10)."""
+"""Queries of the training-data operators over the driver tables (op1 to op13)."""
 
 from __future__ import annotations
 
@@ -146,6 +146,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_forced_boundary_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.bpe import token_digests
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -14,7 +14,7 @@ NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_one_query_per_operator():
     ops = [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(ops) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(ops) == sorted(f"op{k}" for k in range(1, 14))
     assert set(queries.QUERIES) <= set(E.queries()) and set(queries.ORACLE) <= set(E.oracle_sql())
 
 
@@ -23,6 +23,7 @@ def test_one_query_per_operator():
     ("op5_adaptive_quality", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
     ("op6_best_fit_packing", ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]),
     ("op7_wrapper_extraction", ["page_id", "url", "text", "n_chars"]),
+    ("op11_forced_boundary_bpe", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
     ("op10_segmentation_langid", ["doc_id", "held_out", "lang_pred", "score"])])
 def test_contract_columns(spark, name, columns):
     assert queries.QUERIES[name](spark, SF_SMALL).columns[:len(columns)] == columns
