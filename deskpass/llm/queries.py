@@ -152,6 +152,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def _op13_sql() -> str:
+    from deskpass.llm.divergence import LEAST_DOCS, SCALE, TOP
+    return f"""
+with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+lowered as (select lang, source, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from docs),
+kept as (select lang, term from (select lang, unnest(list_distinct(w)) as term from lowered) group by all having count(*) >= {LEAST_DOCS}),
+counts as (select lang, source, term, count(*) as n from (select lang, source, unnest(w) as term from lowered)
+  join kept using (lang, term) group by all),
+groups as (select distinct lang, source from docs),
+sizes as (select lang, count(*) as v from kept group by all),
+totals as (select lang, source, sum(n) as total from counts group by all),
+every as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, coalesce(t.total, 0) as total, s.v from groups g
+  join kept k using (lang) join sizes s using (lang) left join counts c using (lang, source, term) left join totals t using (lang, source)),
+shares as (select lang, source, term, n, 1 + ({SCALE} * (n + 1)::hugeint) // (total + v)::hugeint as p from every),
+whole as (select lang, term, 1 + ({SCALE} * (sum(n) + 1)::hugeint) // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang))::hugeint as p
+  from every group by lang, term),
+pairs as (select g.lang, g.source, h.source as item, coalesce(x.value, 0) as value from groups g join groups h
+  on g.lang = h.lang and g.source <> h.source left join (select a.lang, a.source, b.source as item,
+    sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by all) x on x.lang = g.lang and x.source = g.source and x.item = h.source),
+terms as (select a.lang, a.source, a.term as item, (a.p - b.p) * (a.p - b.p) // b.p as value from shares a
+  join whole b using (lang, term) where a.n > 0 and a.p > b.p),
+found as (select *, 'pair' as part from pairs union all by name select *, 'term' as part from terms)
+select lang, source, part, item, value::bigint as value, rank::int as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from found)
+where part = 'pair' or rank <= {TOP}"""
+
+
+@query("op13_pair_task_divergence", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.divergence import divergence_audit
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
