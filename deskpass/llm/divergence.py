@@ -76,7 +76,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         for (own_lang, own_source), (n, d) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([own_lang] * len(terms)), pa.array([own_source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
+                [pa.array([own_lang] * len(terms), pa.string()), pa.array([own_source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
                  pa.array([n[t] for t in terms], pa.int64()), pa.array([d[t] for t in terms], pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
