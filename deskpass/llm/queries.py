@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 QUERIES = {}
@@ -152,6 +153,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = """
+with rows as (select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from rows where id % 100 = 0),
+scores as (select a.id as anchor_id, a.label as anchor_label, b.id, b.label, list_inner_product(a.v, b.v)::bigint as score
+  from anchors a join rows b on a.id <> b.id),
+positives as (select * from (select anchor_id, id as positive_id, score as positive_score,
+    row_number() over (partition by anchor_id order by score desc, id) as r from scores where label = anchor_label) where r <= 5),
+found as (select p.anchor_id, p.positive_id, s.id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id) as rank
+  from positives p join scores s on p.anchor_id = s.anchor_id and s.label <> s.anchor_label
+    and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from found where rank <= 5
+"""
+
+
+@query("op12_anchor_tree_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskpass.llm.negatives import hard_negatives
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def _op13_sql() -> str:
     from deskpass.llm.divergence import LEAST_DOCS, SCALE, TOP
     return f"""
