@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from deskpass.llm.common import bounded_batches, col, need
 
-REMEMBERED = 400_000  # words, and as many fragments, per Python worker
+REMEMBERED = 150_000  # words, and as many fragments, per Python worker
 SHORT = 64            # length of a word or fragment worth remembering
 AT_ONCE = 1 << 19     # characters whose words are listed at once
 
@@ -86,8 +86,6 @@ class Bpe:
         added = self.library.get_added_tokens_decoder()
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")" if added else r"(?!)")
-        self.tokens = dict.fromkeys(range(self.library.get_vocab_size()), "")
-        self.tokens |= {i: t for t, i in vocabulary.items()} | {i: t.content for i, t in added.items()}
         self.words: dict[str, bytes] = {}
         self.fragments: dict[bytes, bytes] = {}
 
@@ -237,8 +235,19 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decode(tokens: list[str], ids: bytes) -> str:
+    """Text of packed ids: their tokens with a space between."""
+    return " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def read_tokens(path: str) -> list[str]:
+    """The vocabulary file's tokens, added ones too, by id."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    by_id = {i: t for t, i in whole["model"]["vocab"].items()} | {t["id"]: t["content"] for t in whole["added_tokens"]}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
 _BPES: dict[str, Bpe] = {}
@@ -286,8 +295,8 @@ def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str | None = None) -
     path = vocabulary or default_vocabulary()
 
     def decoder():
-        own = bpe(path)
-        return lambda rows: [None if x is None else own.decode(x) for x in rows]
+        tokens = read_tokens(path)
+        return lambda rows: [None if x is None else decode(tokens, x) for x in rows]
 
     return _with(df, ids, "decoded", "string", decoder)
 
