@@ -15,7 +15,8 @@ whole texts, no shuffle; words seen before are looked up.
 Defined cases: null text or text without a letter is ``und`` with score 0, and so is
 any text if no language could be learned; documents without an id or a language are
 predicted, never learned from; equal scores go to the first language in name order;
-letter runs over 32 bytes are scored in parts; an empty table gives no rows.
+a letter is a character of Unicode's category L; runs of letters of any length are summed over all
+their segmentations; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +34,15 @@ from deskpass.llm.common import bounded_batches, col, need, stage
 SAMPLE_DOCS = 2000   # labelled documents learned from, a language
 EM_ROUNDS = 3
 SMOOTHING = 0.05     # expected count added to every piece
-LONGEST_PIECE = 12   # bytes
-LONGEST_WORD = 32    # bytes scored at once
+AT_ONCE = 32         # bytes of words that are summed many at a time; longer ones one by one, with rescaling
+LEARN_LONGEST = 4096  # bytes of the longest words learned from (a bound of the sample; any length is scored)
+POSITIONS = 1 << 16  # positions of a long word whose pieces are looked up at once
 REMEMBERED = 300_000  # words per Python worker
 DOCS_AT_ONCE = 128
 UNKNOWN = "und"
 FOLDS, HELD_OUT_FOLD = 5, 0
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # letters, and number signs that are cut out afterwards
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # any odd number: prefix hashes are polynomials in it
 
 
@@ -50,27 +52,24 @@ def default_vocabulary() -> str:
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The vocabulary's pieces that can occur in a word: a space first or nowhere, no ASCII but letters, bounded length."""
+    """The vocabulary's pieces that can occur in a word: a space first or nowhere, no ASCII but letters."""
     import base64
     pieces = []
     with open(path, "rb") as f:
         for line in f:
             p = base64.b64decode(line.split()[0])
             body = p[1:] if p[:1] == b" " else p
-            if len(p) <= LONGEST_PIECE and all(c >= 128 or 97 <= c <= 122 for c in body):
+            if body and all(c >= 128 or 97 <= c <= 122 for c in body):
                 pieces.append(p)
     return pieces
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased letter runs, each after a space, in parts of a bounded length."""
+    """Lower-cased letter runs, each after a space."""
     out = []
     for w in _LETTERS.findall(text.lower()):
-        b = b" " + w.encode("utf-8", "replace")
-        if len(b) <= LONGEST_WORD:
-            out.append(b)
-        else:
-            out += [b[i:i + LONGEST_WORD] for i in range(0, len(b), LONGEST_WORD)]
+        for x in [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
+            out.append(b" " + x.encode("utf-8", "replace"))
     return out
 
 
@@ -88,7 +87,8 @@ class Lattice:
         hashes = np.array([int(_prefix_hashes(np.frombuffer(p, np.uint8)[None, :])[-1, 0]) for p in pieces], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.longest = max(map(len, pieces))
+        self.lengths = sorted(set(map(len, pieces)))
+        self.longest = self.lengths[-1]
         self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
 
     def edges(self, block: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,7 +96,9 @@ class Lattice:
         h = _prefix_hashes(block)
         out = []
         for end in range(1, block.shape[1] + 1):
-            for length in range(1, min(end, self.longest) + 1):
+            for length in self.lengths:
+                if length > end:
+                    break
                 want = h[end] - h[end - length] * self.powers[length]
                 i = np.minimum(np.searchsorted(self.hashes, want), len(self.hashes) - 1)
                 rows = np.flatnonzero(self.hashes[i] == want)
@@ -104,10 +106,52 @@ class Lattice:
                     out.append((end - length, end, rows, self.order[i[rows]]))
         return out
 
+    def long_edges(self, word: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, starts, pieces) at every position of one word, in order."""
+        c = np.frombuffer(word, np.uint8)
+        h = np.empty(len(c) + 1, np.uint64)
+        h[0], total = 0, 0
+        for i, x in enumerate(word):
+            total = (total * int(_BASE) + x + 1) & 0xFFFFFFFFFFFFFFFF
+            h[i + 1] = total
+        for first in range(1, len(c) + 1, POSITIONS):
+            ends = np.arange(first, min(first + POSITIONS, len(c) + 1))
+            found = []
+            for length in self.lengths:
+                own = ends[ends >= length]
+                want = h[own] - h[own - length] * self.powers[length]
+                i = np.minimum(np.searchsorted(self.hashes, want), len(self.hashes) - 1)
+                hit = self.hashes[i] == want
+                found.append((own[hit], np.full(int(hit.sum()), length), self.order[i[hit]]))
+            end, length, piece = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(end, kind="stable")
+            end, length, piece = end[order], length[order], piece[order]
+            cuts = np.searchsorted(end, ends)
+            for e, a, b in zip(ends.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(end)]):
+                yield e, e - length[a:b], piece[a:b]
+
+    def long_log_likelihood(self, word: bytes, p: np.ndarray) -> np.ndarray:
+        """The same sum for one word of any length: only the last sums are kept, rescaled as they shrink."""
+        held = self.longest + 1
+        alpha, scale = np.zeros((held, p.shape[1])), np.zeros(p.shape[1])
+        alpha[0] = 1
+        for end, starts, pieces in self.long_edges(word):
+            alpha[end % held] = (alpha[starts % held] * p[pieces]).sum(axis=0)
+            if end % 8 == 0:
+                most = alpha.max(axis=0)
+                most[most == 0] = 1
+                alpha /= most
+                scale += np.log(most)
+        return scale + np.log(np.maximum(alpha[len(word) % held], 1e-300))
+
     def log_likelihood(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; ``p`` is pieces x languages."""
         out = np.empty((len(words), p.shape[1]))
         for n, at in _by_length(words):
+            if n > AT_ONCE:
+                for i in at:
+                    out[i] = self.long_log_likelihood(words[i], p)
+                continue
             block = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), n)
             alpha = np.zeros((n + 1, len(at), p.shape[1]))
             alpha[0] = 1
@@ -116,10 +160,29 @@ class Lattice:
             out[at] = np.log(np.maximum(alpha[n], 1e-300))
         return out
 
+    def long_expected(self, word: bytes, weight: float, p: np.ndarray, out: np.ndarray) -> None:
+        """Adds one long word's expected piece counts to ``out``, in logarithms."""
+        n = len(word)
+        log_p = np.log(p)
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        edges = [e for e in self.long_edges(word) if len(e[1])]
+        for end, starts, pieces in edges:
+            alpha[end] = np.logaddexp.reduce(alpha[starts] + log_p[pieces])
+        for end, starts, pieces in reversed(edges):
+            beta[starts] = np.logaddexp(beta[starts], beta[end] + log_p[pieces])
+        if np.isfinite(alpha[n]):
+            for end, starts, pieces in edges:
+                np.add.at(out, pieces, weight * np.exp(alpha[starts] + log_p[pieces] + beta[end] - alpha[n]))
+
     def expected(self, words: list[bytes], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts of the weighted words under one language's ``p``."""
         out = np.zeros(len(p))
         for n, at in _by_length(words):
+            if n > AT_ONCE:
+                for i in at:
+                    self.long_expected(words[i], weights[i], p, out)
+                continue
             block = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), n)
             edges = self.edges(block)
             alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
@@ -172,8 +235,10 @@ def training_words(docs: DataFrame, id_col: str, text: str, lang: str, sample_do
             counts: dict[tuple[str, bytes], int] = {}
             for name, t in zip(f["lang"], f["text"]):
                 for w in words_of(t):
-                    counts[name, w] = counts.get((name, w), 0) + 1
-            yield pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())})
+                    if len(w) <= LEARN_LONGEST:
+                        counts[name, w] = counts.get((name, w), 0) + 1
+            if counts:
+                yield pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())})
 
     counted = picked.select("lang", "text").mapInPandas(run, schema)
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -202,7 +267,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
                     if len(own):
                         total[:, k] += lat.expected(list(own["word"]), own["n"].to_numpy(float), prob[:, k])
             pieces, k = np.nonzero(total)
-            yield pd.DataFrame({"lang": k, "piece": pieces, "n": total[pieces, k]})
+            yield pd.DataFrame({"lang": k.astype("int32"), "piece": pieces.astype("int32"), "n": total[pieces, k]})
 
         sums = (words.mapInPandas(step, "lang int, piece int, n double")
                 .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas())
@@ -260,7 +325,7 @@ def predictor(docs: DataFrame, names: list[str], p: np.ndarray, vocabulary: str
                 l, s = scorer.predict(values[i:i + DOCS_AT_ONCE])
                 langs += l
                 scores += s
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
     return predict
 

@@ -265,6 +265,46 @@ def test_forward_sums_all_segmentations():
     assert sum(1 for _ in itertools.islice(segmentations(b"aab", set(pieces)), 9)) == 3
 
 
+def test_long_words_sum_all_segmentations_too(monkeypatch):
+    """Words beyond the size of a batch, with pieces as long as they come, against a plain forward pass."""
+    rng = np.random.default_rng(8)
+    pieces = [b" ", *{bytes(rng.choice(list(b"abc"), k)) for k in (1, 1, 1, 2, 2, 3, 5, 9, 14, 40) for _ in range(6)}, "é".encode(), b"\xc3", b"\xa9"]
+    lat = langid.Lattice(pieces)
+    p = rng.random((len(pieces), 2)) * .1
+    words = [b" " + bytes(rng.choice(list(b"abc"), n)) for n in (33, 60, 60, 250, 3000)] + [b" " + "é".encode() * 60]
+    words += [b" x" + words[0], pieces[-5] * 3]
+
+    def plain(w, k):
+        logs = [0.0] + [-math.inf] * len(w)
+        for end in range(1, len(w) + 1):
+            ways = [logs[end - len(x)] + math.log(p[i, k]) for i, x in enumerate(pieces) if w[:end].endswith(x)]
+            logs[end] = float(np.logaddexp.reduce(ways)) if ways else -math.inf
+        return logs[-1]
+
+    for size in (langid.POSITIONS, 50):
+        monkeypatch.setattr(langid, "POSITIONS", size)
+        got = lat.log_likelihood(words, p)
+        for w, row in zip(words, got):
+            for k in range(2):
+                true = plain(w, k)
+                assert math.isclose(row[k], true, rel_tol=1e-9) if math.isfinite(true) else row[k] < -600
+    many = lat.expected(words[:3], np.ones(3), p[:, 0])
+    monkeypatch.setattr(langid, "AT_ONCE", 100)
+    assert np.allclose(many, lat.expected(words[:3], np.ones(3), p[:, 0]))
+
+
+def test_letters_are_of_category_l():
+    assert langid.words_of("½ ② Ⅷ 12 _ !?") == []
+    assert langid.words_of("a½b ÉtÉ x2 日本") == [b" a", b" b", " été".encode(), b" x", " 日本".encode()]
+
+
+def test_letterless_learning_batch(spark):
+    rows = [(1, "123 !!", "de"), (2, "der Hund und die Katze", "de"), (4, "½ ②", None), (6, "", "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8, "doc_id")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(d).collect()}
+    assert got == {1: ("und", 0.0), 2: ("de", 1.0), 4: ("und", 0.0), 6: ("und", 0.0)}
+
+
 def test_language_cases(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(90001, None, "en"), (90002, "", None), (90003, "123 !!", "de"), (None, "the and of that", "en"),
