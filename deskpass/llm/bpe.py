@@ -38,6 +38,7 @@ from deskpass.llm.common import bounded_batches, col, need
 
 REMEMBERED = 150_000  # words, and as many fragments, per Python worker
 SHORT = 64            # length of a word or fragment worth remembering
+ROWS = 256            # texts whose ids are held at once
 AT_ONCE = 1 << 19     # characters whose words are listed at once
 
 # The byte-level alphabet's printable bytes (the others stand as the code
@@ -259,33 +260,45 @@ def bpe(path: str) -> Bpe:
     return _BPES[path]
 
 
-def _with(df: DataFrame, source: str, target: str, kind: str, maker) -> DataFrame:
-    """``df`` with column ``target`` made from the values of ``source``, batch by batch."""
-    kept = df.select(*[col(c) for c in df.columns if c.lower() != target or c == source])
+def _with(df: DataFrame, source: str, targets: dict[str, str], maker) -> DataFrame:
+    """``df`` with the columns ``targets`` (name: type) made from the values of ``source``, a few rows at a time."""
+    kept = df.select(*[col(c) for c in df.columns if c.lower() not in targets or c == source])
     place = kept.columns.index(source)
-    same = source.lower() == target
-    schema = (kept.drop(source) if same else kept.select("*")).schema.add(target, kind)
+    same = source.lower() in targets
+    schema = (kept.drop(source) if same else kept).select("*").schema
+    for name, kind in targets.items():
+        schema = schema.add(name, kind)
+    types = {"binary": pa.binary(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
         for b in batches:
-            made = pa.array(make(b.column(place).to_pylist()), pa.binary() if kind == "binary" else pa.string())
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if not same or i != place], made], schema.names)
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                made = [pa.array(x, types[kind]) for x, kind in zip(make(part.column(place).to_pylist()), targets.values())]
+                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if not same or i != place], *made], schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with ids: the whole text's ids as little-endian unsigned 32-bit integers."""
+def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` with ids: the whole text's ids as little-endian unsigned 32-bit integers; ``decoded``: with decoded
+    too, the text that these ids stand for, in the same pass."""
     need(docs, text)
     bounded_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def encoder():
         own = bpe(path)
-        return lambda texts: list(own.encode_all([t or "" for t in texts]))
+        tokens = read_tokens(path) if decoded else []
 
-    return _with(docs.withColumn(text, col(text).cast("string")), text, "ids", "binary", encoder)
+        def make(texts: list[str | None]) -> list[list]:
+            ids = list(own.encode_all([t or "" for t in texts]))
+            return [ids, [decode(tokens, x) for x in ids]] if decoded else [ids]
+
+        return make
+
+    return _with(docs.withColumn(text, col(text).cast("string")), text, {"ids": "binary"} | ({"decoded": "string"} if decoded else {}), encoder)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -296,16 +309,15 @@ def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str | None = None) -
 
     def decoder():
         tokens = read_tokens(path)
-        return lambda rows: [None if x is None else decode(tokens, x) for x in rows]
+        return lambda rows: [[None if x is None else decode(tokens, x) for x in rows]]
 
-    return _with(df, ids, "decoded", "string", decoder)
+    return _with(df, ids, {"decoded": "string"}, decoder)
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     need(docs, id_col, text)
     narrow = docs.select(col(id_col).alias("doc_id"), col(text).cast("string").alias("text"))
-    coded = encode_texts(narrow, vocabulary=vocabulary).select("doc_id", "ids")
-    return decode_ids(coded, vocabulary=vocabulary).select(
+    return encode_texts(narrow, vocabulary=vocabulary, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

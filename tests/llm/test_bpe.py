@@ -80,6 +80,8 @@ def test_cases(spark, own):
     whole = bpe.decode_ids(bpe.encode_texts(d))
     assert whole.columns == ["doc_id", "text", "ids", "decoded"]
     assert {r.decoded for r in whole.where("doc_id = 3").collect()} == {expected(own, "Hello, WORLD's end")[1]}
+    one_pass = bpe.encode_texts(d, decoded=True)
+    assert sorted(map(str, one_pass.collect())) == sorted(map(str, whole.collect()))
     unknown = spark.createDataFrame([(None,)], "ids binary")
     assert bpe.decode_ids(unknown).first().decoded is None
 
