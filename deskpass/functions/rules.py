@@ -100,9 +100,12 @@ def _no(why: Column | str): return _decision(F.lit(REJECT), F.lit(why) if isinst
 
 
 def policy_three(category: Column, reason: Column, tokens: Column,
-                 names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> Column:
+                 names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES,
+                 attendee: Column | None = None) -> Column:
     """R1 (+R5–R8): three-outcome policy with the worked examples' reading.
 
+    ``attendee`` says whether the reason names one; without it ``names`` and the titles are looked up.
+
     Meeting: <=1 token → hold; place, attendee and >=3 tokens → approve; else reject.
     Personal: personal activity → approve; work word → reject; else hold.
     Other work: <=1 token → hold; any token besides 업무/요청/관련 → approve;
@@ -112,7 +115,7 @@ def policy_three(category: Column, reason: Column, tokens: Column,
     """
     n = F.size(tokens)
     place = match_any(reason, ROOM_TERMS)
-    attendee = match_any(reason, attendee_terms(names))
+    attendee = match_any(reason, attendee_terms(names)) if attendee is None else attendee
     trip_place = match_any(reason, trip_places)
     docnum = has_doc_number(tokens)
     meeting = (F.when(n <= 1, _hold())
@@ -245,6 +248,20 @@ def decide(df: DataFrame, policy: str = "three", category: str = "category", rea
     return df.withColumns(outs).drop(tok, res)
 
 
+def decide_with_staff(df: DataFrame, staff: DataFrame, key: str, category: str = "category", reason: str = "reason",
+                      out: str = "decision", reason_out: str = "reject_reason") -> DataFrame:
+    """R1 with the attendees' names in a table (term): of any size, one pass per text (see ``operators.terms``).
+
+    ``key`` tells the rows of ``df`` apart."""
+    from deskpass.operators.terms import match_flags
+    terms = staff.select("term").unionByName(df.sparkSession.createDataFrame([(t,) for t in TITLE_TERMS], "term string"))
+    flags = match_flags(df, terms.select("term", F.lit("__staff").alias("label")), ["__staff"], key, reason).withColumnRenamed("key", "__key")
+    j = df.withColumn("__tok", reason_tokens(reason)).join(flags, F.col(key).eqNullSafe(F.col("__key")))
+    res = policy_three(F.col(category), F.col(reason), F.col("__tok"), attendee=F.col("__staff"))
+    j = j.withColumn("__res", res)
+    return j.withColumns({out: F.col("__res.decision"), reason_out: F.col("__res.reject_reason")}).drop("__tok", "__key", "__staff", "__res")
+
+
 def decide_all(df: DataFrame, category: str = "category", reason: str = "reason",
                names: Iterable[str] = DEFAULT_NAMES, trip_places: Iterable[str] = TRIP_PLACES) -> DataFrame:
     """One decision column per policy (``d_<policy>``), tokens split once."""

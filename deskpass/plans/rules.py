@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from deskpass.functions import rules as RU
 from deskpass.functions import render as RD
 from deskpass.functions.labels import is_blank
+from deskpass.operators import terms as TM
 from deskpass.plans.registry import register
 from deskpass.plans.requests import requests_with_category
 from deskpass.plans.sqlbits import (ATT, CATS, POLICY_SQL, ROOM, TOK, alt, blank, q, with_views)
 from deskpass.schema import CATEGORIES, PERSONAL_TERMS, REJECT
+from deskpass.sources.tables import table
 
 
 def decided(spark, d, policy="three", valid_only=False) -> DataFrame:
@@ -82,6 +84,40 @@ def r6(spark, d):
                     RU.match_any(r, PERSONAL_TERMS).alias("has_personal"))
 
 
+def _term_table(spark, d):
+    """Terms of any number: the benchmark's longer words and the customers' names."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("term"))
+    return (words.select("term", F.lit("word").alias("kind"))
+            .unionByName(table(spark, d, "customer").select(F.col("c_name").alias("term"), F.lit("customer").alias("kind"))).distinct())
+
+
+_TERMS_SQL = with_views("""
+, terms as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) as term, 'word' as kind from benchmark
+  union select c_name, 'customer' from customer)
+select r.request_id, count(*) as n_terms, count(distinct t.kind) as n_kinds, min(t.term) as first_term
+from r join terms t on contains(r.reason, t.term) group by r.request_id""", rule_view=True)
+
+
+def _terms_found(spark, d, find):
+    v = requests_with_category(spark, d, rules=True).select("request_id", "reason")
+    terms = _term_table(spark, d).select("term", F.struct("kind", "term").alias("label"))
+    found = find(v, terms, "request_id", "reason")
+    return found.groupBy(F.col("key").alias("request_id")).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.count_distinct("label.kind").alias("n_kinds"), F.min("label.term").alias("first_term"))
+
+
+@register("R6_term_table", _TERMS_SQL)
+def r6_term_table(spark, d):
+    """R6 with a table of terms: one pass per text, whatever their number."""
+    return _terms_found(spark, d, TM.term_matches)
+
+
+@register("R6_term_table_joined", _TERMS_SQL)
+def r6_term_table_joined(spark, d):
+    """The same in the form that tables beyond the broadcast take: substrings joined to anchors."""
+    return _terms_found(spark, d, TM.joined_matches)
+
+
 @register("R7_missing_reason_hold", with_views(f"""
 , dd as (select request_id, category, ({POLICY_SQL['lenient']()}).decision as decision from r where {blank('reason')})
 select request_id, category, decision from dd""", rule_view=True))
