@@ -4,6 +4,7 @@ from the driver tables into the shared scratch folder, read it back."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskpass.functions import rules as RU
 from deskpass.functions.render import training_record
@@ -15,6 +16,7 @@ from deskpass.plans.sqlbits import CATS, POLICY_SQL, with_views
 from deskpass.schema import BATCH_LOG, CATEGORIES, FORM_LOG, MANIFEST, REQUESTS
 from deskpass.session import scratch_path
 from deskpass.sources import files as FS
+from deskpass.sources.decision_log import Conflict, DecisionLog
 from deskpass.sources.tables import REQUEST_VIEW_SQL, request_view, table
 
 
@@ -32,6 +34,14 @@ def s1_json(spark, d):
     return FS.read_requests(spark, f"{base}/json", "json", REQUESTS)
 
 
+@register("S1_read_requests_csv", REQUEST_VIEW_SQL)
+def s1_csv(spark, d):
+    """A CSV history: header, quotes and line breaks inside texts, nulls apart from empty texts."""
+    base = scratch_path(spark, "s1c")
+    request_view(spark, d).write.options(**FS.CSV_OPTIONS, quoteAll=True).csv(f"{base}/csv")
+    return FS.read_requests(spark, f"{base}/csv", "csv", REQUESTS, nullValue=FS.CSV_OPTIONS["nullValue"])
+
+
 DOCS_PER_FILE = 1000
 N_FILES_SQL = f"cast(greatest(8, ceil(count(*) / {DOCS_PER_FILE}.0)) as bigint)"
 
@@ -113,9 +123,10 @@ select cast(request_id as varchar) as row_id, category, reason, res.decision as
 
 def _log_cycle(spark, d, path):
     """Load (or create), append, save; rows before."""
-    log = FS.load_or_create_log(spark, path, BATCH_LOG)
-    before = log.count()
-    FS.save_log(log.unionByName(_batch_log(spark, d)), path)
+    log = DecisionLog(spark, path, BATCH_LOG)
+    rows = log.load()
+    before = rows.count()
+    log.save(rows.unionByName(_batch_log(spark, d)))
     return before
 
 
@@ -126,18 +137,17 @@ def s4(spark, d):
     path = f"{scratch_path(spark, 's4')}/log"
     n0 = _log_cycle(spark, d, path)
     n1 = _log_cycle(spark, d, path)
-    again = FS.load_or_create_log(spark, path, BATCH_LOG)
-    return again.select("row_id", "decision", F.lit(n0).cast("long").alias("rows_before"), F.lit(n1).cast("long").alias("rows_between"))
+    return DecisionLog(spark, path, BATCH_LOG).load().select("row_id", "decision", F.lit(n0).cast("long").alias("rows_before"), F.lit(n1).cast("long").alias("rows_between"))
 
 
 @register("S5_save_log_csv", _log_sql_full() + ", (values (1), (2)) twice(t)")
 def s5(spark, d):
     """The log saved over itself with new rows, whole texts with line breaks included."""
     path = f"{scratch_path(spark, 's5')}/log"
-    FS.save_log(_batch_log(spark, d), path)
-    FS.save_log(FS.read_log(spark, path).unionByName(_batch_log(spark, d)), path)
-    back = FS.read_log(spark, path)
-    return back.select("row_id", "category", "reason", "decision", "reject_reason")
+    for _ in range(2):
+        log = DecisionLog(spark, path)
+        log.save(log.load().unionByName(_batch_log(spark, d)))
+    return log.read().select("row_id", "category", "reason", "decision", "reject_reason")
 
 
 FORM_TIME = "2024-01-01 09:00:00"
@@ -153,9 +163,28 @@ def s6(spark, d):
     v = requests_with_category(spark, d, rules=True)
     dec = RU.decide(v, "three").select(F.lit(FORM_TIME).cast("timestamp").alias("logged_at"),
                                        F.col("category").alias("request_type"), "reason", "decision")
-    FS.append_decisions(dec, f"{base}/log")
-    FS.append_decisions(dec, f"{base}/log")
-    return spark.read.schema(FORM_LOG).parquet(f"{base}/log").withColumn("logged_at", F.col("logged_at").cast("timestamp_ntz"))
+    one, other = (DecisionLog(spark, f"{base}/log", FORM_LOG, "parquet") for _ in range(2))
+    one.append(dec)
+    other.append(dec)
+    return one.read().withColumn("logged_at", F.col("logged_at").cast("timestamp_ntz"))
+
+
+@register("S5_interleaved_writers", _log_sql_full().replace("select cast(request_id", "select w.writer, cast(request_id")
+          + ", (values ('first'), ('second'), ('appended')) w(writer)")
+def s5_interleaved(spark, d):
+    """Two runs that load the log at the same time and a job that appends meanwhile: all rows are there, whoever saves last."""
+    schema = T.StructType([T.StructField("writer", T.StringType()), *BATCH_LOG.fields])
+    path = f"{scratch_path(spark, 's5i')}/log"
+    new = _batch_log(spark, d)
+    one, two = DecisionLog(spark, path, schema), DecisionLog(spark, path, schema)
+    mine, theirs = one.load(), two.load()
+    DecisionLog(spark, path, schema).append(new.withColumn("writer", F.lit("appended")))
+    one.save(mine.unionByName(new.withColumn("writer", F.lit("first"))))
+    try:
+        two.save(theirs.unionByName(new.withColumn("writer", F.lit("second"))))
+    except Conflict:
+        two.update(lambda rows: rows.unionByName(new.withColumn("writer", F.lit("second"))))
+    return two.read().select("writer", "row_id", "category", "reason", "decision", "reject_reason")
 
 
 @register("S7_write_jsonl", with_views(

@@ -6,8 +6,6 @@ a path that the same plan reads: they write a fresh folder and return it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +33,8 @@ def _strings(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.select(*out)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = BATCH_LOG) -> DataFrame:
-    """Read a decision log written by ``save_log``."""
+def read_log(spark: SparkSession, path: str | list[str], schema: T.StructType = BATCH_LOG) -> DataFrame:
+    """Read decision rows written as CSV in the log's dialect (see ``decision_log``)."""
     return _strings(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path), [(b, a) for a, b in _BREAKS[::-1]])
 
 
@@ -48,12 +46,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet",
-                  schema: T.StructType = REQUESTS, header: bool = True) -> DataFrame:
-    """Request history with a declared schema (no inference)."""
+                  schema: T.StructType = REQUESTS, header: bool = True, **options: str) -> DataFrame:
+    """Request history with a declared schema (no inference). CSV fields may hold quotes (doubled) and line breaks."""
     r = spark.read.schema(schema)
     if fmt == "csv":
-        r = r.option("header", header)
-    return r.format(fmt).load(path)
+        r = r.option("header", header).option("escape", '"').option("multiLine", True)
+    return r.options(**options).format(fmt).load(path)
 
 
 def _as_text(raw: DataFrame) -> DataFrame:
@@ -97,40 +95,8 @@ def update_manifest(manifest: DataFrame, loaded: DataFrame, version: int = 0) ->
             .select("path", "x.modified_at", "x.version"))
 
 
-def load_or_create_log(spark: SparkSession, path: str, schema: T.StructType = BATCH_LOG,
-                       fmt: str = "csv") -> DataFrame:
-    """The decision log at ``path``; if there is none, one is created with the log's columns and no row."""
-    if not _exists(spark, path):
-        empty = spark.createDataFrame([], schema)
-        if fmt == "csv":
-            save_log(empty, path)
-        else:
-            empty.write.format(fmt).save(path)
-    if fmt == "csv":
-        return read_log(spark, path, schema)
-    return spark.read.schema(schema).format(fmt).load(path)
-
-
-def save_log(df: DataFrame, path: str) -> str:
-    """Write the log as CSV with a header in place of what is at ``path``.
-
-    The new log is written beside the old one, which ``df`` may still read, and
-    swapped in when it is complete; the old one goes last."""
-    spark = df.sparkSession
-    fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    _strings(df, _BREAKS).write.mode("errorifexists").options(**CSV_OPTIONS).csv(fresh)
-    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(to(path))
-    if had and not fs.rename(to(path), to(old)) or not fs.rename(to(fresh), to(path)):
-        raise OSError(f"could not swap in the log {fresh} at {path}")
-    if had:
-        fs.delete(to(old), True)
-    return path
-
-
 def append_decisions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append rows; each job commits its own files (no lost updates)."""
+    """Append rows; each job commits its own files (no lost updates)."""
     df.write.mode("append").format(fmt).save(path)
 
 

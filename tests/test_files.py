@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from deskpass.plans.registry import QUERIES, load_all
 from deskpass.session import scratch_path
+from deskpass.schema import BATCH_LOG
 from deskpass.sources import files as FS
+from deskpass.sources.decision_log import Conflict, DecisionLog
 from tests.conftest import SF_SMALL
 
 load_all()
@@ -33,25 +35,109 @@ def test_day_partition_is_pruned(spark):
     assert "PartitionFilters: [isnotnull(log_date" in plan and "20240102" in plan
 
 
-def test_csv_log_keeps_empty_and_null_apart(spark):
-    path = scratch_path(spark, "csvlog")
-    df = spark.createDataFrame([("1", "c", "r\nmore", "승인", "", "t"), ("2", None, None, "거절", "x, y", "t")],
-                               FS.BATCH_LOG)
-    FS.save_log(df, path)
-    back = sorted(tuple(r) for r in FS.read_log(spark, path).collect())
-    assert back == sorted(tuple(r) for r in df.collect())
+def row(k, **more):
+    return tuple({"row_id": str(k), "category": "c", "reason": "two\nlines ~n\r\\", "decision": "승인", "reject_reason": None, "saved_at": "t", **more}.values())
 
 
-def test_load_or_create_log_empty(spark):
-    df = FS.load_or_create_log(spark, scratch_path(spark, "nolog"))
-    assert df.count() == 0 and df.columns == [f.name for f in FS.BATCH_LOG.fields]
+def rows(spark, *ids):
+    return spark.createDataFrame([row(k) for k in ids], BATCH_LOG)
 
 
-def test_log_is_created_appended_and_swapped(spark):
-    path = f"{scratch_path(spark, 'cycle')}/log"
+def ids(df):
+    return sorted(r.row_id for r in df.collect())
+
+
+@pytest.fixture
+def opened(spark):
+    path = f"{scratch_path(spark, 'log')}/log"
+    return lambda: DecisionLog(spark, path)
+
+
+def test_log_keeps_empty_and_null_apart(spark, opened):
+    df = spark.createDataFrame([("1", "c", "r\nmore", "승인", "", "t"), ("2", None, None, "거절", "x, y", "t")], BATCH_LOG)
+    log = opened()
+    log.append(df)
+    assert sorted(tuple(r) for r in log.read().collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_log_is_created_once_without_rows(opened):
+    assert opened().load().count() == 0 and opened().load().columns == BATCH_LOG.names
+    assert opened().version() == 0
+
+
+def test_log_is_loaded_appended_and_saved(spark, opened):
     for n in range(3):
-        log = FS.load_or_create_log(spark, path)
-        assert log.count() == n
-        row = spark.createDataFrame([(str(n), "c", "two\nlines ~n\r\\", "승인", None, "t")], FS.BATCH_LOG)
-        FS.save_log(log.unionByName(row), path)
-    assert {r.reason for r in FS.read_log(spark, path).collect()} == {"two\nlines ~n\r\\"}
+        log = opened()
+        before = log.load()
+        assert before.count() == n
+        log.save(before.unionByName(rows(spark, n)))
+    assert {r.reason for r in opened().read().collect()} == {"two\nlines ~n\r\\"}
+
+
+def test_appends_of_two_writers_both_stay(spark, opened, monkeypatch):
+    one, two = opened(), opened()
+    one.load()
+    real = two._try_commit
+    calls = []
+
+    def late(version, *rest):
+        if not calls:  # the other writer takes the number between reading and committing
+            one.append(rows(spark, 1))
+        calls.append(version)
+        return real(version, *rest)
+
+    monkeypatch.setattr(two, "_try_commit", late)
+    two.append(rows(spark, 2))
+    assert len(calls) == 2 and ids(opened().read()) == ["1", "2"]
+
+
+def test_a_save_keeps_what_was_appended_meanwhile(spark, opened):
+    opened().append(rows(spark, 0))
+    log = opened()
+    mine = log.load()
+    opened().append(rows(spark, 1))
+    log.save(mine.unionByName(rows(spark, 2)))
+    assert ids(opened().read()) == ["0", "1", "2"]
+
+
+def test_two_saves_of_one_version_conflict(spark, opened):
+    one, two = opened(), opened()
+    a, b = one.load(), two.load()
+    one.save(a.unionByName(rows(spark, 1)))
+    with pytest.raises(Conflict):
+        two.save(b.unionByName(rows(spark, 2)))
+    two.update(lambda df: df.unionByName(rows(spark, 2)))
+    assert ids(opened().read()) == ["1", "2"]
+
+
+def test_readers_keep_their_version(spark, opened):
+    opened().append(rows(spark, 0))
+    reader = opened()
+    pinned = reader.load()
+    log = opened()
+    log.load()
+    log.save(rows(spark, 7))
+    assert ids(pinned) == ["0"] and ids(reader.read(0)) == ["0"] and ids(reader.read()) == ["7"]
+
+
+def test_a_writer_that_dies_leaves_nothing_to_read(spark, opened):
+    log = opened()
+    log.append(rows(spark, 0))
+    log._write(rows(spark, 9))  # and no commit
+    assert ids(opened().read()) == ["0"]
+
+
+def test_compaction_changes_no_row(spark, opened):
+    for k in range(4):
+        opened().append(rows(spark, k))
+    log = opened()
+    log.compact(2)
+    assert len(log.commit(log.version())["folders"]) == 1 and ids(log.read()) == ["0", "1", "2", "3"]
+
+
+def test_csv_requests_are_read_with_their_schema(spark, tmp_path):
+    """A CSV history with a header, quoted fields and missing values."""
+    (tmp_path / "h.csv").write_text('request_id,request_raw,reason,status,approver_note\n1,"ko/ (업무)회의","3층, 팀장",승인됨,\n2,,"say ""hi""",,x\n', encoding="utf-8")
+    got = FS.read_requests(spark, str(tmp_path), "csv")
+    assert got.schema == FS.REQUESTS
+    assert {tuple(r) for r in got.collect()} == {(1, "ko/ (업무)회의", "3층, 팀장", "승인됨", None), (2, None, 'say "hi"', None, "x")}
