@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskpass.operators import text as TX
+from deskpass.operators import vocabulary as VO
 from deskpass.operators.metrics import holdout_flag
 from deskpass.plans.metrics import HASH_SQL
 from deskpass.plans.registry import register
 from deskpass.schema import CHUNK_OVERLAP, CHUNK_OVERLAP_SMALL, CHUNK_SIZE
+from deskpass.session import scratch_path
 from deskpass.sources.tables import table
 
 
@@ -63,7 +65,9 @@ _TEST = HASH_SQL.format(k="doc_id") + " % 100 < 20"
 def t4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     test = holdout_flag("doc_id")
-    idf = TX.fit_idf(docs.filter(~test))
+    path = scratch_path(spark, "vocabulary")
+    VO.save_vocabulary(TX.fit_idf(docs.filter(~test)), path)  # every term of the fitted documents has its own row
+    idf = VO.load_vocabulary(spark, path)
     return TX.apply_idf(docs.filter(test), idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
