@@ -55,11 +55,11 @@ def st3(spark, d):
 @register("ST2_skip_rejected_stream")
 def st2(spark, d):
     base = scratch_path(spark, "st2")
-    feed, sink, rej, ck = f"{base}/in", f"{base}/out", f"{base}/rejects", f"{base}/ck"
+    feed, sink, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     parts = SD.slices(ev, "event_id", SD.key_bounds(ev, "event_id", 4))
     stream = lambda: spark.readStream.schema(ev.schema).parquet(feed)
-    _run_per_slice(spark, parts, feed, lambda: SD.skip_rejected_stream(spark, stream(), sink, rej, ck))
+    _run_per_slice(spark, parts, feed, lambda: SD.skip_rejected_stream(spark, stream(), sink, ck))
     return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 

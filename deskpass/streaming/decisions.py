@@ -9,15 +9,18 @@ each batch consumed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deskpass.functions import rules as RU
 from deskpass.functions.text import last_segment
-from deskpass.operators.sessions import until_first
-from deskpass.sources.files import _exists
 
 
 def write_partition(df: DataFrame, path: str, batch_id: int) -> None:
@@ -43,36 +46,74 @@ def decide_stream(stream: DataFrame, sink: str, checkpoint: str, policy: str = "
     return w.start()
 
 
-def skip_rejected_batch(spark: SparkSession, batch: DataFrame, batch_id: int, sink: str, rejects: str,
-                        key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"),
-                        rejected=None, retention_batches: int | None = None) -> None:
-    """ST2 body: drop ids rejected by earlier batches (anti join against the reject
-    log), keep each remaining id's rows up to and including its first rejection
-    in this batch (W6), and log this batch's new rejects."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _until_reject(schema: T.StructType, reject_col: str, order: list[str]):
+    """State handler of one id: a flag that it was rejected is all that is kept."""
+    names = schema.names
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return  # rejected by an earlier batch: nothing of it is read
+        held, first = [], None
+        for f in frames:  # Arrow chunks, in no order; rows after the first reject known so far go at once
+            if first is not None:
+                f = f[_upto(f, order, first)]
+            mine = f[f[reject_col]]
+            if len(mine):
+                first = tuple(mine.sort_values(order, na_position="first").iloc[0][order])
+                held = [h[_upto(h, order, first)] for h in held]
+                f = f[_upto(f, order, first)]
+            if len(f):
+                held.append(f)
+        if first is not None:
+            state.update((True,))
+        for h in held:
+            yield h[names]
+
+    return run
+
+
+def _upto(f: pd.DataFrame, order: list[str], last: tuple) -> np.ndarray:
+    """Rows that come no later than ``last`` in ``order`` (missing values first)."""
+    before, equal = np.zeros(len(f), bool), np.ones(len(f), bool)
+    for c, x in zip(order, last):
+        missing = f[c].isna().to_numpy()
+        if pd.isna(x):
+            equal &= missing
+        else:
+            before |= equal & (missing | (f[c] < x).to_numpy(dtype=bool, na_value=False))
+            equal &= (f[c] == x).to_numpy(dtype=bool, na_value=False)
+    return before | equal
+
+
+def skip_rejected(stream: DataFrame, rejected: Column, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """ST2: each id's rows up to and including its first rejection, over the whole life of the stream.
+
+    Keyed state holds one flag per rejected id and is never dropped, so a reject is not forgotten and a batch costs
+    what its own rows cost, however long the history is (on ``ROCKSDB`` the flags are not held in memory either).
+    Batches come one after the other; within one, ``order`` decides. Rows without an id are one id."""
+    out = stream.schema
+    flag = "__rejected"
+    rows = stream.withColumn(flag, F.coalesce(rejected, F.lit(False)))
+    return rows.groupBy(key).applyInPandasWithState(
+        _until_reject(out, flag, list(order)), out, "rejected boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def skip_rejected_stream(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str, rejected: Column | None = None,
+                         key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> StreamingQuery:
+    """ST2 + ST3: skip an id once it has been rejected; approved or held ids may come again."""
     rejected = rejected if rejected is not None else (F.col("event_type") == "error")
-    fresh = batch
-    # schemas are stated, so a log without a file yet (no reject so far) reads as empty
-    log = lambda columns: T.StructType([*columns, T.StructField("batch_id", T.IntegerType())])
-    if _exists(spark, rejects):
-        earlier = spark.read.schema(log([batch.schema[key]])).parquet(rejects).filter(F.col("batch_id") < batch_id)
-        if retention_batches:
-            earlier = earlier.filter(F.col("batch_id") >= batch_id - retention_batches)
-        fresh = batch.join(earlier.select(key).distinct(), key, "left_anti")
-    kept = until_first(fresh, key, rejected, list(order))
-    write_partition(kept, sink, batch_id)
-    written = spark.read.schema(log(batch.schema.fields)).parquet(sink).filter(F.col("batch_id") == batch_id)
-    new_rejects = written.filter(rejected).select(key).distinct()
-    write_partition(new_rejects, rejects, batch_id)
-
-
-def skip_rejected_stream(spark: SparkSession, stream: DataFrame, sink: str, rejects: str, checkpoint: str,
-                         key: str = "user_id") -> StreamingQuery:
-    """ST2: skip an id once it has been rejected; approved or held ids may come again."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        skip_rejected_batch(spark, batch, batch_id, sink, rejects, key)
-
-    return (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    kept = skip_rejected(stream, rejected, key, order)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)  # read when the query starts, and kept in its checkpoint
+    try:
+        return (kept.writeStream.foreachBatch(lambda batch, batch_id: write_partition(batch, sink, batch_id))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def slices(df: DataFrame, key: str, bounds: list) -> list[DataFrame]:

@@ -77,19 +77,68 @@ def test_session_memory_keeps_last_n_of_a_busy_session():
     assert out[0]["context"][0].splitlines()[-1] == "[대화 5] 질문: q+, 답변: a+"
 
 
-def test_first_batch_without_a_reject(spark):
-    from pyspark.sql import functions as F
+EVENT = "event_id long, user_id long, event_type string, ts timestamp"
 
+
+def _events(n=300, seed=1):
+    import datetime
+    import random
+    rng = random.Random(seed)
+    t0 = datetime.datetime(2024, 1, 1)
+    return [(k, rng.choice([1, 1, 1, 2, 3, 4, None]), "error" if rng.random() < .02 else "click",
+             None if rng.random() < .02 else t0 + datetime.timedelta(seconds=k // 3)) for k in range(n)]
+
+
+def _first_reject(rows):
+    """W6 over batches in their order: rows of an id up to and with its first reject."""
+    import datetime
+    low = datetime.datetime.min
+    gone, out = set(), set()
+    for batch in rows:
+        for r in sorted(batch, key=lambda r: (r[3] or low, r[0])):
+            if r[1] not in gone:
+                out.add(r[0])
+                if r[2] == "error":
+                    gone.add(r[1])
+    return out
+
+
+def test_rejects_are_never_forgotten_whatever_the_slicing(spark):
     from deskpass.session import scratch_path
     from deskpass.streaming import decisions as SD
-    base = scratch_path(spark, "no-reject")
-    schema = "event_id long, user_id long, event_type string, ts timestamp"
-    rows = [spark.createDataFrame([(1, 7, "click", None)], schema), spark.createDataFrame([(2, 7, "error", None)], schema),
-            spark.createDataFrame([(3, 7, "click", None), (4, None, "click", None)], schema), spark.createDataFrame([], schema)]
-    for i, b in enumerate(rows):
-        SD.skip_rejected_batch(spark, b, i, f"{base}/out", f"{base}/rejects")
-    assert sorted(r[0] for r in spark.read.parquet(f"{base}/out").select("event_id").collect()) == [1, 2, 4]
-    assert spark.read.parquet(f"{base}/rejects").filter(F.col("batch_id") == 1).count() == 1
+    rows = _events()
+    for cuts in ([0, 300], [0, 10, 11, 150, 300], [0, 0, 100, 200, 290, 300]):
+        base = scratch_path(spark, "rejects")
+        batches = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+        for batch in batches:  # a restart from the checkpoint after every slice
+            SD.feed_files([spark.createDataFrame(batch, EVENT).repartition(3)], f"{base}/in")
+            SD.skip_rejected_stream(spark, spark.readStream.schema(EVENT).parquet(f"{base}/in"), f"{base}/out", f"{base}/ck").awaitTermination()
+        got = [r.event_id for r in spark.read.parquet(f"{base}/out").collect()]
+        assert len(got) == len(set(got)) and set(got) == _first_reject(batches)
+
+
+def test_reject_handler_with_chunks_in_any_order():
+    import random
+
+    import pandas as pd
+    from deskpass.streaming import decisions as SD
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(k, 7, "error" if rng.random() < .05 else "click", rng.choice([None, *range(6)])) for k in range(40)]
+        frame = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "ts"]).sample(frac=1, random_state=rng.randrange(99))
+        frame["bad"] = frame["event_type"] == "error"
+
+        class Schema:
+            names = ["event_id", "user_id", "event_type", "ts"]
+
+        run, state = SD._until_reject(Schema, "bad", ["ts", "event_id"]), _State()
+        out = [f for f in run((7,), (frame.iloc[i:i + 7] for i in range(0, 40, 7)), state)]
+        order = sorted(rows, key=lambda r: (-1 if r[3] is None else r[3], r[0]))
+        stop = next((i for i, r in enumerate(order) if r[2] == "error"), None)
+        assert {i for f in out for i in f["event_id"]} == {r[0] for r in (order if stop is None else order[:stop + 1])}
+        assert state.exists == (stop is not None)
+        if state.exists:
+            assert list(run((7,), iter([frame]), state)) == []
 
 
 def test_every_file_is_indexed_or_reported(spark, tmp_path):
