@@ -82,6 +82,52 @@ def st4(spark, d):
     return last.select("conv_id", F.col("s.n_kept").alias("n_kept"), F.col("s.context").alias("context"))
 
 
+# Idle sessions: half the mean distance of a user's events; the feed comes in four equal spans of time, every tenth
+# row one span late (within the watermark's delay), and of the first span every 97th at the end (behind the watermark).
+_SPANS = """
+with e as (select event_id, user_id, ts, min(ts) over () as first_ts, max(ts) over () as last_ts,
+    (epoch_us(max(ts) over ()) - epoch_us(min(ts) over ())) // 1000000 as width from events where ts is not null and user_id is not null),
+facts as (select max(width) as width, max(last_ts) as last_ts, count(*) as n, count(distinct user_id) as users from e),
+rows as (select e.*, least(3, (epoch_us(ts) - epoch_us(first_ts)) // 1000000 * 4 // greatest(1, e.width)) as span from e),
+kept as (select r.*, (f.width * f.users // f.n) // 2 as gap, f.width // 4 * 2 as delay from rows r, facts f where not (span = 0 and event_id % 97 = 5)),
+marked as (select *, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) > gap * 1000000 then 1 else 0 end as new
+  from kept window w as (partition by user_id order by ts, event_id)),
+numbered as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as s,
+  row_number() over (partition by user_id order by ts desc, event_id desc) as from_end from marked)"""
+_EXPIRED_SQL = _SPANS + """
+select user_id as key, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as n,
+  list_aggregate(list_slice(list(event_id order by ts desc, event_id desc), 1, 5), 'sum')::bigint as last_ids
+from numbered group by user_id, s, gap, delay, last_ts
+having epoch_us(max(ts)) + gap * 1000000 < epoch_us(last_ts) - delay * 1000000"""
+
+
+@register("ST4_expired_sessions", _EXPIRED_SQL)
+def st4_expired(spark, d):
+    """Sessions of users that the watermark has closed, from a feed with rows out of order and rows too late."""
+    base = scratch_path(spark, "st4x")
+    feed, sink, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts").where("ts is not null and user_id is not null")
+    f = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"),
+               F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")).first()
+    width = (f.hi - f.lo) // 1_000_000
+    gap, delay = (width * f.users // f.n) // 2, width // 4 * 2
+    at = F.unix_micros(F.col("ts").cast("timestamp")) - f.lo
+    span = F.least(F.lit(3), F.floor(F.floor(at / 1_000_000) * 4 / max(1, width)))
+    late = F.when((span == 0) & (F.col("event_id") % 97 == 5), F.lit(4)).otherwise(F.least(F.lit(3), span + (F.col("event_id") % 10 == 3).cast("int")))
+    fed = ev.withColumn("slice", late)
+    parts = [fed.where(F.col("slice") == k).drop("slice") for k in range(5)]
+
+    def start():
+        closed = SS.expiring_sessions(spark.readStream.schema(ev.schema).parquet(feed), "user_id", "ts", "event_id", gap, f"{delay} seconds")
+        return (closed.writeStream.foreachBatch(lambda b, i: SD.write_partition(b, sink, i))
+                .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    _run_per_slice(spark, parts, feed, start)
+    micros = lambda c: F.unix_micros(F.col(c)).alias(c)
+    total = F.aggregate("last_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("last_ids")
+    return spark.read.parquet(sink).select("key", micros("started"), micros("ended"), "n", total)
+
+
 @register("ST5_incremental_index", f"select {N_FILES_SQL} as files, cast(1 as bigint) as indexed_again, "
           f"{N_FILES_SQL} as files_whole from documents")
 def st5(spark, d):

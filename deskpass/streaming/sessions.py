@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deskpass.schema import CONTEXT_LINE, SESSION_MEMORY
@@ -65,3 +66,62 @@ def session_memory(exchanges: DataFrame, n: int = SESSION_MEMORY, idle_timeout_m
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     return exchanges.groupBy(key).applyInPandasWithState(
         _keep_last(n, idle_timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+
+# --- sessions that expire by event time --------------------------------------
+
+CLOSED_SCHEMA = "key long, started timestamp, ended timestamp, n long, last_ids array<long>"
+OPEN_SCHEMA = "started array<long>, ended array<long>, n array<long>, last_at array<array<long>>, last_id array<array<long>>"
+
+
+def _merge_sessions(sessions: list[list], gap: int, keep: int) -> list[list]:
+    """Sessions (started, ended, n, last entries) in order of time, those that lie within ``gap`` joined."""
+    out: list[list] = []
+    for s in sorted(sessions, key=lambda s: s[0]):
+        if out and s[0] - out[-1][1] <= gap:
+            o = out[-1]
+            out[-1] = [o[0], max(o[1], s[1]), o[2] + s[2], sorted(o[3] + s[3])[-keep:]]
+        else:
+            out.append(s)
+    return out
+
+
+def _close_idle(gap: int, keep: int):
+    """State handler of one key: its open sessions, each with start, end, count and last entries (times in microseconds)."""
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = [list(s) for s in zip(*state.get)] if state.exists else []
+        opened = [[a, b, n, sorted(zip(at, ids))] for a, b, n, at, ids in opened]
+        if not state.hasTimedOut:
+            for pdf in pdfs:  # each Arrow chunk becomes its sessions before the next is read
+                f = pd.DataFrame({"t": pdf["ts"].astype("datetime64[us]").astype("int64"), "i": pdf["id"].astype("int64")}).sort_values(["t", "i"])
+                part = (f["t"].diff() > gap).cumsum()
+                for _, s in f.groupby(part):
+                    opened.append([int(s["t"].iloc[0]), int(s["t"].iloc[-1]), len(s), [(int(a), int(b)) for a, b in zip(s["t"].tail(keep), s["i"].tail(keep))]])
+                opened = _merge_sessions(opened, gap, keep)
+        mark = state.getCurrentWatermarkMs() * 1000
+        done = [s for s in opened if s[1] + gap < mark]
+        left = [s for s in opened if s[1] + gap >= mark]
+        if left:
+            state.update(([s[0] for s in left], [s[1] for s in left], [s[2] for s in left],
+                          [[a for a, _ in s[3]] for s in left], [[b for _, b in s[3]] for s in left]))
+            state.setTimeoutTimestamp(max(-(-min(s[1] + gap for s in left) // 1000), mark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame({"key": [int(key[0])] * len(done), "started": pd.to_datetime([s[0] for s in done], unit="us"),
+                                "ended": pd.to_datetime([s[1] for s in done], unit="us"), "n": [s[2] for s in done],
+                                "last_ids": [[b for _, b in s[3]] for s in done]})
+    return fn
+
+
+def expiring_sessions(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, delay: str, keep: int = SESSION_MEMORY) -> DataFrame:
+    """ST4: rows of a stream → sessions (key, started, ended, n, last_ids), each emitted once it can get no more rows.
+
+    A session is a key's rows with no more than ``gap_seconds`` from one to the next by event time, in whatever order
+    they arrive. State is a key's open sessions, each no larger than its last ``keep`` rows; the watermark (``delay``
+    behind the latest time) emits and drops a session once it passes the session's end by the gap, by a timer if no
+    row comes. Rows behind the watermark are late and take no part; nor do rows without key, time or id."""
+    x = rows.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(row_id).cast("long").alias("id"))
+    x = x.where("key is not null and ts is not null and id is not null").withWatermark("ts", delay)
+    return x.groupBy("key").applyInPandasWithState(_close_idle(gap_seconds * 1_000_000, keep), CLOSED_SCHEMA, OPEN_SCHEMA, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)

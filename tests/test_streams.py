@@ -166,3 +166,24 @@ def test_every_file_is_indexed_or_reported(spark, tmp_path):
     assert [r.text for r in index.collect() if "한글" in r.path] == ["changed words"]
     index, done, _ = index_changed(spark, str(folder), state, 3)
     assert not done.count() and len(short(index)) == 6
+
+
+def test_open_sessions_merge_in_any_order():
+    import random
+
+    from deskpass.streaming.sessions import _merge_sessions
+    rng = random.Random(4)
+    for _ in range(200):
+        times = [rng.randrange(60) for _ in range(rng.randint(1, 25))]
+        rows = [[t, t, 1, [(t, k)]] for k, t in enumerate(times)]
+        rng.shuffle(rows)
+        opened = []
+        for k in range(0, len(rows), 4):
+            opened = _merge_sessions(opened + rows[k:k + 4], 3, 2)
+        want, entries = [], sorted((t, k) for k, t in enumerate(times))
+        for t, k in entries:
+            if want and t - want[-1][1] <= 3:
+                want[-1] = [want[-1][0], t, want[-1][2] + 1, want[-1][3] + [(t, k)]]
+            else:
+                want.append([t, t, 1, [(t, k)]])
+        assert opened == [[a, b, n, e[-2:]] for a, b, n, e in want]
