@@ -54,6 +54,17 @@ def averages(report: DataFrame) -> DataFrame:
     return macro.unionByName(weighted)
 
 
+def report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """M9: (name, precision, recall, f1, support): a row per class, macro and weighted averages, accuracy (in f1)."""
+    rep = per_class(df, label, pred)
+    none = F.lit(None).cast("double")
+    rows = rep.select(F.col("class").cast("string").alias("name"), "precision", "recall", "f1", F.col("support").cast("double").alias("support"))
+    avg = averages(rep).select(F.col("average").alias("name"), "precision", "recall", "f1", none.alias("support"))
+    acc = accuracy(df, label, pred).select(F.lit("accuracy").alias("name"), none.alias("precision"), none.alias("recall"),
+                                           F.col("accuracy").alias("f1"), none.alias("support"))
+    return rows.unionByName(avg).unionByName(acc)
+
+
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """A5: rows per class and their share."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -159,6 +159,51 @@ def st6(spark, d):
     return model.transform(rows.filter("is_test")).select("request_id", "label", "prediction")
 
 
+# Three models of known quality: answers are wrong for so many per cent of the ids, by their hash.
+_FLIPS = {"first": 30, "better": 10, "worse": 40}
+
+
+def _flip_model(per_cent):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    hashed = "cast(conv(substring(md5(cast(doc_id as string)), 1, 15), 16, 10) as bigint)"
+    wrong = f"SELECT *, cast(CASE WHEN {hashed} % 100 < {per_cent} THEN 1 - quality ELSE quality END as double) AS prediction FROM __THIS__"
+    return PipelineModel([SQLTransformer(statement=wrong)])
+
+
+def _publication_sql():
+    from deskpass.plans.metrics import HASH_SQL, _per_class_sql
+
+    def one(step, model, flip, live):
+        return f"""select * from (with p as (select quality as label, case when {HASH_SQL.format(k='doc_id')} % 100 < {flip}
+    then 1 - quality else quality end as prediction from labels){_per_class_sql("p", "label", "prediction")}
+  select '{step}' as step, '{model}' as model, {live} as went_live, name, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from (
+    select cast(c as varchar) as name, precision, recall, f1 from f
+    union all select 'macro', avg(precision), avg(recall), avg(f1) from f
+    union all select 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support) from f
+    union all select 'accuracy', null, null, avg(case when label = prediction then 1.0 else 0.0 end) from p))"""
+    f = _FLIPS
+    return "\nunion all ".join([one("first", "candidate", f["first"], "true"), one("better", "candidate", f["better"], "true"),
+                                one("better", "live", f["first"], "true"), one("worse", "candidate", f["worse"], "false"),
+                                one("worse", "live", f["better"], "false")])
+
+
+@register("ST6_guarded_publication", _publication_sql())
+def st6_publication(spark, d):
+    """Three candidates for publication, each scored beside the live model on the same rows: the reports and who went live."""
+    from deskpass.sources import files
+    root = scratch_path(spark, "publication")
+    rows = table(spark, d, "labels").select("doc_id", "quality", F.col("quality").cast("double").alias("label"))
+    out = None
+    for step, flip in _FLIPS.items():
+        files.save_model(_flip_model(flip), f"{root}/{step}")
+        reports, live = SI.publish(spark, f"{root}/{step}", root, rows, ["label"])
+        part = reports.select(F.lit(step).alias("step"), "model", F.lit(live).alias("went_live"),
+                              F.regexp_replace("name", "\\.0$", "").alias("name"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _same_as(name, batch_name):
     def link():
         from deskpass.plans import rules, sessions  # noqa: F401  (ensure batch oracles are registered)

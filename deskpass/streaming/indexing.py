@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskpass.operators import metrics
 from deskpass.operators.text import chunk_windows
 from deskpass.operators.vectors import embed_texts
 from deskpass.schema import MANIFEST
+from deskpass.session import scratch_path
 from deskpass.sources import files
+from deskpass.sources.decision_log import Conflict, DecisionLog
 
 
 def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int,
@@ -68,3 +71,47 @@ def refit(spark: SparkSession, table: str, pipeline, model_root: str, version: i
     path = f"{model_root}/v={version}"
     files.save_model(model, path)
     return model, path
+
+
+POINTER = T.StructType([T.StructField("model", T.StringType())])
+
+
+def live_model(spark: SparkSession, model_root: str) -> str | None:
+    """Path of the published model that scorers load, None before the first."""
+    rows = DecisionLog(spark, f"{model_root}/live", POINTER, "json").read().collect()  # one row at most
+    return rows[0].model if rows else None
+
+
+def quality_report(model_path: str, rows: DataFrame, keep: list[str], label: str = "label") -> DataFrame:
+    """M9's per-class rows, macro F1 and accuracy of a saved model on held-out ``rows``: (name, precision, recall, f1, support)."""
+    scored = files.load_model(model_path).transform(rows).select(*keep, F.col("prediction"))
+    path = scratch_path(rows.sparkSession, "quality")
+    scored.write.parquet(path)
+    return metrics.report(rows.sparkSession.read.parquet(path), label, "prediction")
+
+
+def publish(spark: SparkSession, candidate: str, model_root: str, rows: DataFrame, keep: list[str], label: str = "label",
+            least_gain: float = 0.0) -> tuple[DataFrame, bool]:
+    """ST6, step 3: the candidate goes live only if its macro F1 on the same held-out rows is no worse than the live
+    model's (by ``least_gain`` better, if given). Returns the reports of both (model, name, ...) and whether it went live.
+
+    The pointer to the live model is a log of one row with atomic commits: scorers see the old model or the new one, and
+    if somebody published meanwhile, the candidate is compared again with that model."""
+    while True:
+        log = DecisionLog(spark, f"{model_root}/live", POINTER, "json")
+        now = log.load().collect()
+        mine = quality_report(candidate, rows, keep, label).withColumn("model", F.lit("candidate"))
+        if not now:
+            reports, good = mine, True
+        else:
+            theirs = quality_report(now[0].model, rows, keep, label).withColumn("model", F.lit("live"))
+            reports = mine.unionByName(theirs)
+            f1 = {r.model: r.f1 for r in reports.where("name = 'macro'").select("model", "f1").collect()}
+            good = (f1["candidate"] or 0.0) >= (f1["live"] or 0.0) + least_gain
+        if not good:
+            return reports, False
+        try:
+            log.save(spark.createDataFrame([(candidate,)], POINTER))
+            return reports, True
+        except Conflict:
+            continue

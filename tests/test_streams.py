@@ -187,3 +187,27 @@ def test_open_sessions_merge_in_any_order():
             else:
                 want.append([t, t, 1, [(t, k)]])
         assert opened == [[a, b, n, e[-2:]] for a, b, n, e in want]
+
+
+def test_a_worse_refit_is_not_published(spark):
+    from pyspark.sql import functions as F
+
+    from deskpass.operators import ml as ML
+    from deskpass.session import scratch_path
+    from deskpass.streaming import indexing as SI
+    root = scratch_path(spark, "models")
+    rows = [(k, ("late again " if k % 2 else "on time ") + f"n{k % 7}", float(k % 2)) for k in range(120)]
+    train = spark.createDataFrame(rows, "id long, text string, label double")
+    held = train.where("id % 5 = 0")
+    fit = lambda df, v: (df.write.parquet(f"{root}/t{v}"), SI.refit(spark, f"{root}/t{v}", ML.text_logistic("text", "label", 120), root, v)[1])[1]
+    good = fit(train.where("id % 5 <> 0"), 1)
+    bad = fit(train.where("id % 5 <> 0").withColumn("label", 1 - F.col("label")), 2)
+    assert SI.live_model(spark, root) is None
+    assert SI.publish(spark, good, root, held, ["label"])[1] and SI.live_model(spark, root) == good
+    reports, went = SI.publish(spark, bad, root, held, ["label"])
+    assert not went and SI.live_model(spark, root) == good
+    f1 = {r.model: r.f1 for r in reports.where("name = 'macro'").collect()}
+    assert f1["live"] == 1.0 and f1["candidate"] == 0.0
+    again = fit(train, 3)
+    assert SI.publish(spark, again, root, held, ["label"])[1] and SI.live_model(spark, root) == again
+    assert not SI.publish(spark, good, root, held, ["label"], least_gain=.1)[1]
