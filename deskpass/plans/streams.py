@@ -143,6 +143,42 @@ def st5(spark, d):
                  F.sum((F.col("chunks") == F.col("last") + 1).cast("long")).alias("files_whole")))
 
 
+@register("ST5_removed_and_compacted", f"""select {N_FILES_SQL} as files_before, true as some_removed, true as removed_are_gone,
+  true as equals_fresh_build, true as compacted, true as fewer_rows_read, true as came_back from documents""")
+def st5_removed(spark, d):
+    """A folder of which files are removed, changed and brought back (as the pattern lists them), the index compacted in
+    between: at every step the index is that of a fresh build."""
+    base = scratch_path(spark, "st5r")
+    folder, state = f"{base}/docs", f"{base}/state"
+    docs_as_files(spark, d, folder)
+    whole, less = "part-*", "part-????[13579]-*"
+
+    def chunks(index):
+        return index.select("path", "chunk_no", F.xxhash64("text").alias("h"))
+
+    def same(index, glob, name):
+        fresh, _, _ = SI.index_changed(spark, folder, f"{base}/{name}", 1, glob)
+        a, b = chunks(index), chunks(fresh)
+        return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+    index, _, _ = SI.index_changed(spark, folder, state, 1, whole)
+    before, schema = index.select("path").distinct().count(), index.schema
+    touch_first(spark, folder)
+    index, _, _ = SI.index_changed(spark, folder, state, 2, less)
+    after = index.select("path").distinct().count()
+    gone = index.join(SI.files.file_listing(spark, folder, less).select("path"), "path", "left_anti").limit(1).count() == 0
+    equal = same(index, less, "fresh-less")
+    dead = SI.dead_share(spark, state, 2, schema)
+    index, done = SI.compact(spark, state, 3, schema, 0.0)
+    equal = equal and same(index, less, "fresh-compact")
+    smaller = SI.dead_share(spark, state, 3, schema) == 0 < dead
+    index, _, _ = SI.index_changed(spark, folder, state, 4, whole)
+    back = index.select("path").distinct().count() == before and same(index, whole, "fresh-back")
+    return spark.createDataFrame([(before, 0 < after < before, gone, equal, done, smaller, back)],
+                                 "files_before long, some_removed boolean, removed_are_gone boolean, equals_fresh_build boolean, "
+                                 "compacted boolean, fewer_rows_read boolean, came_back boolean")
+
+
 @register("ST6_collect_and_refit")
 def st6(spark, d):
     from deskpass.operators import ml as ML

@@ -29,12 +29,12 @@ def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int
     change, then by path. Their chunks are written to ``state_dir/index/version=<n>``,
     earlier versions stay as they are, and the manifest says which version holds a
     file's rows. A file enters the manifest only once it was read, so what can't be
-    read is reported and tried again by the next run.
+    read is reported and tried again by the next run. Files that are no longer there
+    leave the manifest, and with it the index (their rows go at the next ``compact``).
     """
-    prev = f"{state_dir}/manifest/v={version - 1}"
-    manifest = (spark.read.schema(MANIFEST).parquet(prev) if files._exists(spark, prev)
-                else spark.createDataFrame([], MANIFEST))
-    changed = files.changed_files(files.file_listing(spark, folder, glob), manifest)
+    manifest = _manifest(spark, state_dir, version - 1)
+    listing = files.file_listing(spark, folder, glob)
+    changed = files.changed_files(listing, manifest)
     since = changed.agg(F.min("modified_at")).first()[0]
     ok, bad = files.read_with_errors(spark, folder, glob)
     if since is not None:
@@ -46,18 +46,52 @@ def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int
     fresh.write.mode("overwrite").parquet(f"{state_dir}/index/version={version}")
     done = docs.select("path", "modified_at")
     new = f"{state_dir}/manifest/v={version}"
-    files.update_manifest(manifest, done, version).write.mode("overwrite").parquet(new)
+    there = manifest.join(listing.select("path"), "path", "left_semi")
+    files.update_manifest(there, done, version).write.mode("overwrite").parquet(new)
     known = spark.read.schema(MANIFEST).parquet(new)
     index = current_index(spark, state_dir, known, fresh.schema)
     return index, known.filter(F.col("version") == version), bad
 
 
+def _manifest(spark: SparkSession, state_dir: str, version: int) -> DataFrame:
+    path = f"{state_dir}/manifest/v={version}"
+    return (spark.read.schema(MANIFEST).parquet(path) if files._exists(spark, path)
+            else spark.createDataFrame([], MANIFEST))
+
+
+def _stored(spark: SparkSession, state_dir: str, schema) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(f"{state_dir}/index")
+
+
 def current_index(spark: SparkSession, state_dir: str, manifest: DataFrame, schema) -> DataFrame:
-    """The rows of every file's latest version."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(f"{state_dir}/index")
+    """The rows of every file's latest version; only folders of versions that still hold one are read."""
+    live = [r.version for r in manifest.select("version").distinct().collect()]  # as many as runs since the last compaction
+    rows = _stored(spark, state_dir, schema).where(F.col("version").isin(live) if live else F.lit(False))
     return rows.join(manifest.select("path", "version"), ["path", "version"], "left_semi").drop("version")
 
 
+def dead_share(spark: SparkSession, state_dir: str, version: int, schema) -> float:
+    """Share of the rows in the folders that version ``version`` reads that are no longer of the index."""
+    manifest = _manifest(spark, state_dir, version)
+    live = [r.version for r in manifest.select("version").distinct().collect()]
+    held = _stored(spark, state_dir, schema).where(F.col("version").isin(live) if live else F.lit(False)).count()
+    return 1 - current_index(spark, state_dir, manifest, schema).count() / held if held else 0.0
+
+
+def compact(spark: SparkSession, state_dir: str, version: int, schema, most_dead: float = 0.25) -> tuple[DataFrame, bool]:
+    """ST5: after run ``version - 1``, write the index as one folder of version ``version`` if more than ``most_dead`` of
+    the rows read are dead; returns (index, whether it was done). Rows, times and embeddings stay as they are; readers
+    of an earlier version keep its folders, which are not removed here."""
+    manifest = _manifest(spark, state_dir, version - 1)
+    index = current_index(spark, state_dir, manifest, schema)
+    if dead_share(spark, state_dir, version - 1, schema) <= most_dead:
+        return index, False
+    index.write.mode("overwrite").parquet(f"{state_dir}/index/version={version}")
+    new = f"{state_dir}/manifest/v={version}"
+    manifest.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(new)
+    return current_index(spark, state_dir, spark.read.schema(MANIFEST).parquet(new), schema), True
+
+
 def collect_training(stream: DataFrame, table: str, checkpoint: str) -> None:
     """ST6, step 1: append arriving labelled rows to the training table (AvailableNow)."""
     q = (stream.writeStream.format("parquet").option("path", table)
