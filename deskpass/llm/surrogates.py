@@ -2,8 +2,8 @@
 
 Detected entities are replaced by keyed surrogates of the same type: a hash of key,
 type, value and attempt picks every character from the alphabet of the replaced one
-(digit, case, accent, script), names come from the same gender and script, check
-digits stay valid, country codes, separators and prefixes stay. A mention is cut into
+(digit, case, accent, script), names come from the same gender and script, a card's check
+digit stays valid (an IBAN's two do not), country codes, separators and prefixes stay. A mention is cut into
 parts (address into local part and domain, name into given name and surname), and each
 different part of a type gets one surrogate for the whole corpus, so mentions that
 referred to one thing still do. Surrogates are checked: none may equal another's or a
