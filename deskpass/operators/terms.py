@@ -3,17 +3,19 @@
 A term occurs in a text where one of the text's substrings equals it, whatever stands around it. With
 one search per term, work is texts x terms; here it is one pass per text, whatever the number of terms:
 
-1. Every term has an anchor, its first ``ANCHOR`` characters (a shorter term is its own anchor).
-2. A text's substrings of ``ANCHOR`` characters, and those of the lengths of the shorter terms, are cut
-   out by one pass in the JVM and made distinct per stretch; joined to the anchors they give the (text,
-   term) pairs that can match: an equi-join, broadcast or shuffled as Spark finds by size.
-3. Terms are verified in the stretch (``contains``) only for these pairs.
+1. Every term has an anchor, its first ``ANCHORS`` characters (a shorter term is its own anchor): the most
+   characters at which the table of anchors, each with the lengths of its terms, provably fits
+   (``AUTOMATON_BYTES``). However many terms share an anchor, it is one row of that table.
+2. One scan of the texts finds the places of the anchors, by an Aho-Corasick automaton that every Python
+   worker builds once from the broadcast anchors. There the substrings of its terms' lengths are cut out,
+   each once per stretch.
+3. These substrings are joined to the terms by an equi-join, broadcast or shuffled as Spark finds by size:
+   what is shuffled are the substrings that begin like a term, never the text.
 
 A text is cut into stretches of ``STRETCH`` characters before that, each with as much of what follows as
-the longest term needs, so one long text is many rows. An anchor that very many terms share only meets the stretches that hold it. Where the table
-is small and provably fits (``AUTOMATON_BYTES``), the pairs are found by an Aho-Corasick automaton that
-every Python worker builds once from the broadcast table, in one scan without a shuffle; both forms give
-the same rows.
+the longest term needs, so one long text is many rows. Where the whole table is small and provably fits
+(``AUTOMATON_BYTES``), the automaton holds the terms themselves and there is no join; both forms give the
+same rows.
 
 Defined cases: null texts and null or empty terms match nothing; repeated terms and texts count once per
 (id, label); matching is by code points, without folding; an empty table gives no rows.
@@ -24,10 +26,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-ANCHOR = 4
+ANCHORS = (8, 4, 2, 1)  # characters of an anchor, the most that fit
 STRETCH = 2000
 AUTOMATON_BYTES = 16 << 20
 
@@ -47,23 +49,51 @@ def stretches(texts: DataFrame, key: str, text: str, size: int, overlap: int) ->
     return d.select("key", F.concat("head", F.when(F.col("i") + 1 < F.size("p"), tail).otherwise("")).alias("stretch"))
 
 
-def _substrings(c: Column, n: int) -> Column:
-    """The distinct substrings of ``n`` characters, one at every position."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def _anchors(terms: DataFrame, most_bytes: int) -> list[Row]:
+    """(anchor, lengths of its terms): the longest anchors that provably fit; those of one character at worst."""
+    for n in ANCHORS:
+        heads = terms.groupBy(F.substring("term", 1, n).alias("anchor")).agg(F.collect_set(F.char_length("term")).alias("lengths"))
+        size = heads.agg(F.sum(F.octet_length("anchor") + 4 * F.size("lengths")).alias("n")).first().n or 0
+        if size <= most_bytes or n == ANCHORS[-1]:
+            return heads.collect()
+    return []
+
+
+def _cut(held: DataFrame, anchors: list[Row]) -> DataFrame:
+    """(key, cut): the substrings of a stretch that begin with an anchor and have a length of its terms, each once."""
+    shared = held.sparkSession.sparkContext.broadcast({r.anchor: sorted(r.lengths) for r in anchors})
+    schema = held.select("key").schema.add("cut", "string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+        machine = ahocorasick.Automaton()
+        for x, lengths in shared.value.items():
+            machine.add_word(x, (len(x), lengths))
+        machine.make_automaton()
+        for f in frames:
+            keys, cuts = [], []
+            for k, t in zip(f["key"], f["stretch"]):
+                found = {t[a:a + n] for end, (own, lengths) in machine.iter(t) for a in (end + 1 - own,) for n in lengths if a + n <= len(t)}
+                keys += [k] * len(found)
+                cuts += found
+                if len(cuts) >= 1 << 16:
+                    yield pd.DataFrame({"key": pd.Series(keys, dtype=f["key"].dtype), "cut": cuts})
+                    keys, cuts = [], []
+            if cuts:
+                yield pd.DataFrame({"key": pd.Series(keys, dtype=f["key"].dtype), "cut": cuts})
+
+    return held.select("key", "stretch").mapInPandas(run, schema)
 
 
 def joined_matches(texts: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", term: str = "term", label: str = "label",
-                   stretch: int = STRETCH) -> DataFrame:
-    """(key, label): the labels of the terms that a text contains, by joining substrings to anchors."""
-    t = _clean(terms, term, label).withColumn("anchor", F.substring("term", 1, ANCHOR))
-    facts = t.agg(F.max(F.char_length("term")).alias("longest"), F.collect_set(F.least(F.char_length("term"), F.lit(ANCHOR))).alias("lengths")).first()
-    if facts.longest is None:
+                   stretch: int = STRETCH, anchor_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """(key, label): the labels of the terms that a text contains, by joining substrings to terms."""
+    t = _clean(terms, term, label)
+    longest = t.agg(F.max(F.char_length("term")).alias("n")).first().n
+    if longest is None:
         return texts.select(F.col(key).alias("key")).join(t.select("label").limit(0), F.lit(False))
-    s = stretches(texts, key, text, stretch, facts.longest - 1)
-    cut = F.flatten(F.array(*[_substrings(F.col("stretch"), n) for n in sorted(facts.lengths)]))
-    held = s.select("key", "stretch", F.explode(cut).alias("anchor"))
-    found = held.join(t, "anchor").where(F.col("stretch").contains(F.col("term")))
-    return found.select("key", "label").distinct()
+    cut = _cut(stretches(texts, key, text, stretch, longest - 1), _anchors(t, anchor_bytes))
+    return cut.join(t, F.col("cut") == F.col("term")).select("key", "label").distinct()
 
 
 def scanned_matches(texts: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", term: str = "term", label: str = "label") -> DataFrame:

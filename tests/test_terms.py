@@ -52,3 +52,19 @@ def test_policy_with_a_staff_table_equals_the_list(spark):
     key = lambda df: sorted((r.id, r.decision, r.reject_reason) for r in df.collect())
     got = RU.decide_with_staff(d, staff, "id")
     assert got.columns == by_list.columns and key(got) == key(by_list)
+
+
+def test_joined_terms_with_short_anchors_and_without_shuffled_texts(spark):
+    texts, terms, t, w = fixture(spark)
+    want = sorted(map(str, {(k, lab) for k, x in t if x is not None for term, lab in w if term and term in x}))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = TM.joined_matches(texts, terms)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "Join" in x and "stretch" in x]
+        assert sorted(map(str, ((r.key, r.label) for r in got.collect()))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    short = TM.joined_matches(texts, terms, stretch=30, anchor_bytes=0)  # anchors of one character
+    assert sorted(map(str, ((r.key, r.label) for r in short.collect()))) == want
