@@ -107,16 +107,22 @@ def write_jsonl(df: DataFrame, path: str, cols: list[str] | None = None) -> None
 
 
 def write_conversations(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Conversation log partitioned by day key (one folder per day)."""
-    (df.withColumn("log_date", F.date_format(F.col(ts), "yyyyMMdd"))
+    """Conversation log partitioned by day key (one folder per day). A day's rows meet in one task (several, if they
+    are many), so files grow with the days and bytes written, not with tasks times days."""
+    (df.withColumn("log_date", F.date_format(F.col(ts), "yyyyMMdd")).hint("rebalance", "log_date")
      .write.mode("append").partitionBy("log_date").json(path))
 
 
 def load_conversations(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
-    """Read the log back; a day filter prunes to that day's folder."""
+    """Read the log back; of a single day only its folder is listed."""
     schema = T.StructType(CONVERSATION_LOG.fields + [T.StructField("log_date", T.StringType())])
-    df = spark.read.schema(schema).json(path)
-    return df.filter(F.col("log_date") == day) if day else df
+    reader = spark.read.schema(schema)
+    if day is None:
+        return reader.json(path)
+    own = f"{path.rstrip('/')}/log_date={day}"
+    if not _exists(spark, own):
+        return spark.createDataFrame([], schema) if _exists(spark, path) else reader.json(path)
+    return reader.option("basePath", path).json(own).filter(F.col("log_date") == day)
 
 
 def save_index(index: DataFrame, path: str) -> None:

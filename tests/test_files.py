@@ -141,3 +141,20 @@ def test_csv_requests_are_read_with_their_schema(spark, tmp_path):
     got = FS.read_requests(spark, str(tmp_path), "csv")
     assert got.schema == FS.REQUESTS
     assert {tuple(r) for r in got.collect()} == {(1, "ko/ (업무)회의", "3층, 팀장", "승인됨", None), (2, None, 'say "hi"', None, "x")}
+
+
+def test_a_day_of_the_conversation_log_is_few_files(spark, tmp_path):
+    """Files grow with the days, not with the tasks that write them; one day is read from its folder."""
+    from pyspark.sql import functions as F
+
+    from deskpass.sources import files as FS
+    ts = F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(cast(id % 5 as int), 0, 0, 0)")
+    log = spark.range(0, 200, 1, 16).select(F.col("id").cast("string").alias("session_id"), ts.alias("ts"), F.lit("q").alias("question"), F.lit("a").alias("answer"))
+    path = str(tmp_path / "log")
+    FS.write_conversations(log, path)
+    assert len(list((tmp_path / "log").glob("log_date=*/*.json"))) == 5
+    day = FS.load_conversations(spark, path, "20240102")
+    assert sorted(int(r.session_id) for r in day.collect()) == list(range(1, 200, 5))
+    assert {f.split("/")[-2] for f in day.inputFiles()} == {"log_date=20240102"} and {r.log_date for r in day.collect()} == {"20240102"}
+    assert FS.load_conversations(spark, path, "20240109").count() == 0
+    assert FS.load_conversations(spark, path).count() == 200
