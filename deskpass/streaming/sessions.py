@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,11 @@ def session_memory(exchanges: DataFrame, n: int = SESSION_MEMORY, idle_timeout_m
 # --- sessions that expire by event time --------------------------------------
 
 CLOSED_SCHEMA = "key long, started timestamp, ended timestamp, n long, last_ids array<long>"
-OPEN_SCHEMA = "started array<long>, ended array<long>, n array<long>, last_at array<array<long>>, last_id array<array<long>>"
+OPEN_SCHEMA = ("keys array<long>, started array<long>, ended array<long>, n array<long>, last_at array<array<long>>, "
+               "last_id array<array<long>>")
+# Keys are dealt to so many state groups: a call of the state handler costs milliseconds, whatever it is given, so it is
+# given the keys of a group at once.
+STATE_GROUPS = 1024
 
 
 def _merge_sessions(sessions: list[list], gap: int, keep: int) -> list[list]:
@@ -86,42 +91,61 @@ def _merge_sessions(sessions: list[list], gap: int, keep: int) -> list[list]:
     return out
 
 
+def _sessions_of(keys: np.ndarray, t: np.ndarray, ids: np.ndarray, gap: int, keep: int) -> dict[int, list[list]]:
+    """Sessions per key of rows in any order: one sort, however many keys and sessions there are."""
+    order = np.lexsort((ids, t, keys))
+    keys, t, ids = keys[order], t[order], ids[order]
+    ends = np.append(np.flatnonzero((np.diff(t) > gap) | (np.diff(keys) != 0)) + 1, len(t))
+    names, times, numbers = keys.tolist(), t.tolist(), ids.tolist()
+    out: dict[int, list[list]] = {}
+    a = 0
+    for b in ends.tolist() if len(t) else ():
+        last = max(a, b - keep)
+        out.setdefault(names[a], []).append([times[a], times[b - 1], b - a, list(zip(times[last:b], numbers[last:b]))])
+        a = b
+    return out
+
+
 def _close_idle(gap: int, keep: int):
-    """State handler of one key: its open sessions, each with start, end, count and last entries (times in microseconds)."""
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = [list(s) for s in zip(*state.get)] if state.exists else []
-        opened = [[a, b, n, sorted(zip(at, ids))] for a, b, n, at, ids in opened]
+    """State handler of a group of keys: the open sessions of each, with start, end, count and last entries (times in microseconds)."""
+    def fn(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened: dict[int, list[list]] = {}
+        for k, a, b, n, at, ids in zip(*state.get) if state.exists else ():
+            opened.setdefault(k, []).append([a, b, n, sorted(zip(at, ids))])
         if not state.hasTimedOut:
             for pdf in pdfs:  # each Arrow chunk becomes its sessions before the next is read
-                f = pd.DataFrame({"t": pdf["ts"].astype("datetime64[us]").astype("int64"), "i": pdf["id"].astype("int64")}).sort_values(["t", "i"])
-                part = (f["t"].diff() > gap).cumsum()
-                for _, s in f.groupby(part):
-                    opened.append([int(s["t"].iloc[0]), int(s["t"].iloc[-1]), len(s), [(int(a), int(b)) for a, b in zip(s["t"].tail(keep), s["i"].tail(keep))]])
-                opened = _merge_sessions(opened, gap, keep)
+                new = _sessions_of(pdf["key"].to_numpy(np.int64), pdf["ts"].to_numpy("datetime64[us]").view(np.int64), pdf["id"].to_numpy(np.int64), gap, keep)
+                for k, own in new.items():
+                    opened[k] = _merge_sessions(opened[k] + own, gap, keep) if k in opened else own
         mark = state.getCurrentWatermarkMs() * 1000
-        done = [s for s in opened if s[1] + gap < mark]
-        left = [s for s in opened if s[1] + gap >= mark]
+        done, left = [], []
+        for k, own in opened.items():
+            for s in own:
+                (done if s[1] + gap < mark else left).append((k, *s))
         if left:
-            state.update(([s[0] for s in left], [s[1] for s in left], [s[2] for s in left],
-                          [[a for a, _ in s[3]] for s in left], [[b for _, b in s[3]] for s in left]))
-            state.setTimeoutTimestamp(max(-(-min(s[1] + gap for s in left) // 1000), mark // 1000 + 1))
+            keys, started, ended, n, last = zip(*left)
+            state.update((list(keys), list(started), list(ended), list(n), [[a for a, _ in x] for x in last], [[b for _, b in x] for x in last]))
+            state.setTimeoutTimestamp(max(-(-(min(ended) + gap) // 1000), mark // 1000 + 1))
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame({"key": [int(key[0])] * len(done), "started": pd.to_datetime([s[0] for s in done], unit="us"),
-                                "ended": pd.to_datetime([s[1] for s in done], unit="us"), "n": [s[2] for s in done],
-                                "last_ids": [[b for _, b in s[3]] for s in done]})
+            keys, started, ended, n, last = zip(*done)
+            yield pd.DataFrame({"key": keys, "started": np.array(started, "datetime64[us]"), "ended": np.array(ended, "datetime64[us]"), "n": n,
+                                "last_ids": [[b for _, b in x] for x in last]})
     return fn
 
 
-def expiring_sessions(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, delay: str, keep: int = SESSION_MEMORY) -> DataFrame:
+def expiring_sessions(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, delay: str, keep: int = SESSION_MEMORY,
+                      groups: int = STATE_GROUPS) -> DataFrame:
     """ST4: rows of a stream → sessions (key, started, ended, n, last_ids), each emitted once it can get no more rows.
 
     A session is a key's rows with no more than ``gap_seconds`` from one to the next by event time, in whatever order
-    they arrive. State is a key's open sessions, each no larger than its last ``keep`` rows; the watermark (``delay``
+    they arrive. State is the open sessions of the keys of a group (one of ``groups`` by the key's hash, more for more
+    open sessions), each no larger than its last ``keep`` rows; the watermark (``delay``
     behind the latest time) emits and drops a session once it passes the session's end by the gap, by a timer if no
     row comes. Rows behind the watermark are late and take no part; nor do rows without key, time or id."""
     x = rows.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(row_id).cast("long").alias("id"))
     x = x.where("key is not null and ts is not null and id is not null").withWatermark("ts", delay)
-    return x.groupBy("key").applyInPandasWithState(_close_idle(gap_seconds * 1_000_000, keep), CLOSED_SCHEMA, OPEN_SCHEMA, "append",
+    x = x.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    return x.groupBy("group").applyInPandasWithState(_close_idle(gap_seconds * 1_000_000, keep), CLOSED_SCHEMA, OPEN_SCHEMA, "append",
                                                    GroupStateTimeout.EventTimeTimeout)

@@ -211,3 +211,45 @@ def test_a_worse_refit_is_not_published(spark):
     again = fit(train, 3)
     assert SI.publish(spark, again, root, held, ["label"])[1] and SI.live_model(spark, root) == again
     assert not SI.publish(spark, good, root, held, ["label"], least_gain=.1)[1]
+
+
+def test_sessions_of_many_keys_in_one_call():
+    """ST4: a state group's handler is called once for all its keys, in chunks of any order, and closes what is idle."""
+    import random
+
+    import pandas as pd
+    from deskpass.streaming.sessions import _close_idle
+    rng = random.Random(8)
+    rows = [(rng.randrange(300), rng.randrange(4000), k) for k in range(6000)]
+    frame = pd.DataFrame({"key": [r[0] for r in rows], "ts": pd.to_datetime([r[1] for r in rows], unit="us"), "id": [r[2] for r in rows]})
+
+    class State(_State):
+        hasTimedOut, mark = False, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def remove(self):
+            self.exists = False
+
+    run, state = _close_idle(40, 2), State()
+    out = list(run((0,), (frame.iloc[i:i + 700] for i in range(0, 6000, 700)), state))
+    state.mark, state.hasTimedOut = 2, True  # milliseconds: half of the time
+    out += list(run((0,), iter(()), state))
+    state.mark = 5
+    out += list(run((0,), iter(()), state))
+    assert len(out) == 2 and not state.exists
+    got = sorted((int(r.key), int(r.started.value) // 1000, int(r.ended.value) // 1000, r.n, tuple(r.last_ids)) for f in out for r in f.itertuples())
+    want = []
+    for key in range(300):
+        own = []
+        for _, t, i in sorted(r for r in rows if r[0] == key):
+            if own and t - own[-1][-1][0] <= 40:
+                own[-1].append((t, i))
+            else:
+                own.append([(t, i)])
+        want += [(key, s[0][0], s[-1][0], len(s), tuple(i for _, i in s[-2:])) for s in own]
+    assert got == sorted(want) and out[0]["ended"].max().value // 1000 + 40 < 2000
