@@ -116,3 +116,33 @@ def test_each_model_beats_always_approving(spark):
     for p in (ML.text_forest("t"), ML.text_logistic("t", n_rows=200), ML.feature_forest("category", ["flag"]), ML.text_boosted("t", max_iter=3)):
         out = ML.predict(p.fit(df), df, ["label"]).collect()
         assert len(out) == 200 and all(r.label == r.prediction for r in out)
+
+
+def test_tree_learners_get_kept_rows_in_bounded_partitions(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from deskpass.operators import ml as ML
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf(T.StringType())
+    def text(i):
+        made.add(1)
+        return f"request {'good fine' if i % 5 else 'bad wrong'} {i % 7}"
+
+    df = spark.range(0, 200, 1, 2).select(text("id").alias("t"), (F.col("id") % 5 != 0).cast("double").alias("label"))
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), sorted(rows.columns), [rows.count() for _ in range(3)]))
+
+    monkeypatch.setattr(ML, "PARTITION_BYTES", 10 * 4 * 16)
+    ML.OnKeptRows(Learner(), ["t", "label"], 16).fit(df)
+    assert seen == [(20, ["label", "t"], [200] * 3)] and made.value == 200
+    monkeypatch.undo()
+    ML.OnKeptRows(Learner(), ["t", "label"], 16).fit(df)
+    assert seen[1][0] == 2  # few rows stay where they are
+    # the texts of a forest: read to choose the terms and once for its rows, not for every pass over these
+    made.value = 0
+    ML.text_forest("t").fit(df)
+    assert made.value <= 3 * 200
