@@ -29,7 +29,7 @@ def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int
     change, then by path. Their chunks are written to ``state_dir/index/version=<n>``,
     earlier versions stay as they are, and the manifest says which version holds a
     file's rows. A file enters the manifest only once it was read, so what can't be
-    read is reported and tried again by the next run. Files that are no longer there
+    read is reported and tried again by the next run; the rows written tell what was, no file is read a second time. Files that are no longer there
     leave the manifest, and with it the index (their rows go at the next ``compact``).
     """
     manifest = _manifest(spark, state_dir, version - 1)
@@ -43,8 +43,9 @@ def index_changed(spark: SparkSession, folder: str, state_dir: str, version: int
     bad = bad.join(changed.select("path"), "path", "left_semi")
     chunks = chunk_windows(docs, "text").select("path", "modified_at", "chunk_no", F.col("chunk").alias("text"))
     fresh = embed_texts(chunks, "text", "embedding")
-    fresh.write.mode("overwrite").parquet(f"{state_dir}/index/version={version}")
-    done = docs.select("path", "modified_at")
+    rows = f"{state_dir}/index/version={version}"
+    fresh.write.mode("overwrite").parquet(rows)
+    done = spark.read.schema(fresh.schema).parquet(rows).select("path", "modified_at").distinct()  # a file has a chunk at least
     new = f"{state_dir}/manifest/v={version}"
     there = manifest.join(listing.select("path"), "path", "left_semi")
     files.update_manifest(there, done, version).write.mode("overwrite").parquet(new)

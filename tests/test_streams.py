@@ -253,3 +253,29 @@ def test_sessions_of_many_keys_in_one_call():
                 own.append([(t, i)])
         want += [(key, s[0][0], s[-1][0], len(s), tuple(i for _, i in s[-2:])) for s in own]
     assert got == sorted(want) and out[0]["ended"].max().value // 1000 + 40 < 2000
+
+
+def test_a_run_reads_a_file_once(spark, tmp_path, monkeypatch):
+    """ST5: the manifest comes from the rows written, not from reading the files again."""
+    from pyspark.sql import functions as F
+
+    from deskpass.streaming import indexing as SI
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for k, text in enumerate([" ", "one two", "three " * 500]):
+        (folder / f"{k}.txt").write_text(text)
+    read, own = spark.sparkContext.accumulator(0), SI.files.read_with_errors
+
+    @F.udf("string")
+    def counted(path):
+        read.add(1)
+        return path
+
+    def reading(*a):
+        ok, bad = own(*a)
+        return ok.withColumn("path", counted.asNondeterministic()("path")), bad
+
+    monkeypatch.setattr(SI.files, "read_with_errors", reading)
+    index, done, _ = SI.index_changed(spark, str(folder), str(tmp_path / "state"), 1)
+    assert done.count() == 3 and index.select("path").distinct().count() == 3
+    assert read.value == 3
