@@ -121,7 +121,7 @@ def load_conversations(spark: SparkSession, path: str, day: str | None = None) -
         return reader.json(path)
     own = f"{path.rstrip('/')}/log_date={day}"
     if not _exists(spark, own):
-        return spark.createDataFrame([], schema) if _exists(spark, path) else reader.json(path)
+        return reader.json(path).filter(F.col("log_date") == day)  # a day without rows: its folder is pruned away
     return reader.option("basePath", path).json(own).filter(F.col("log_date") == day)
 
 
