@@ -141,6 +141,60 @@ def test_reject_handler_with_chunks_in_any_order():
             assert list(run((7,), iter([frame]), state)) == []
 
 
+def test_rejects_of_many_ids_in_one_call(monkeypatch):
+    """ST2: the handler of a state group is called once for all its ids, in chunks of any order."""
+    import random
+
+    import pandas as pd
+    from deskpass.streaming import decisions as SD
+    monkeypatch.setattr(SD, "HELD_ROWS", 50)
+    rng = random.Random(5)
+
+    class Schema:
+        names = ["event_id", "user_id", "event_type", "ts"]
+
+    for _ in range(20):
+        rows = [(k, rng.randrange(12) + (1 << 60), "error" if rng.random() < .05 else "click", rng.choice([None, *range(40)])) for k in range(600)]
+        run, state, gone = SD._until_reject(Schema, "bad", ["ts", "event_id"], "user_id"), _State(), set()
+        for batch in (rows[:300], rows[300:]):
+            frame = pd.DataFrame(batch, columns=Schema.names).sample(frac=1, random_state=rng.randrange(99))
+            frame["bad"] = frame["event_type"] == "error"
+            got = [i for f in run((3,), (frame.iloc[i:i + 40] for i in range(0, 300, 40)), state) for i in f["event_id"]]
+            want = []
+            for user in sorted({r[1] for r in batch} - gone):
+                own = sorted((r for r in batch if r[1] == user), key=lambda r: (-1 if r[3] is None else r[3], r[0]))
+                stop = next((i for i, r in enumerate(own) if r[2] == "error"), None)
+                want += [r[0] for r in (own if stop is None else own[:stop + 1])]
+                gone |= {user} if stop is not None else set()
+            assert sorted(got) == sorted(want)
+            assert set(state.get[0]) == gone and len(state.get[0]) == len(gone)
+
+
+def test_long_ids_beside_missing_ones_stay_exact(spark):
+    """ST2: ids of one state group, beyond what a double holds, with rows without an event, a time or an id among them;
+    and ids that are neither whole numbers nor strings."""
+    from deskpass.session import scratch_path
+    from deskpass.streaming import decisions as SD
+    big = 1 << 60
+    import datetime
+    at = datetime.datetime(2024, 1, 1)
+    first = [(big + 1, big + 1, "click", at), (None, big + 1, "error", at), (big + 3, big + 2, "click", None),
+             (big + 5, big + 2, "error", at), (big + 4, big + 2, "click", at), (big + 6, big + 2, "click", at), (big + 7, None, "error", at)]
+    second = [(big + 8, big + 1, "click", at), (big + 9, big + 3, "click", at), (big + 10, None, "click", at), (big + 11, big + 2, "error", at)]
+    want = {(None, big + 1), (big + 3, big + 2), (big + 4, big + 2), (big + 5, big + 2), (big + 7, None), (big + 9, big + 3)}
+    for kind, groups in (("long", 1), ("long", 1024), ("string", 1), ("decimal(20,0)", 1)):
+        base = scratch_path(spark, "long-ids")
+        schema = EVENT.replace("user_id long", f"user_id {kind}")
+        for rows in (first, second):
+            SD.feed_files([spark.createDataFrame(rows, EVENT).selectExpr("event_id", f"cast(user_id as {kind})", "event_type", "ts").coalesce(1)], f"{base}/in")
+            kept = SD.skip_rejected(spark.readStream.schema(schema).parquet(f"{base}/in"), SD.F.expr("event_type = 'error'"), groups=groups)
+            (kept.writeStream.foreachBatch(lambda b, i: SD.write_partition(b, f"{base}/out", i))
+             .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination())
+        out = spark.read.parquet(f"{base}/out")
+        assert {(r.event_id, r.user_id) for r in out.selectExpr("event_id", "cast(user_id as long) user_id").collect()} == want, kind
+        assert out.count() == len(want)
+
+
 def test_every_file_is_indexed_or_reported(spark, tmp_path):
     import os
     import time
