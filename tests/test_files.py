@@ -110,6 +110,41 @@ def test_two_saves_of_one_version_conflict(spark, opened):
     assert ids(opened().read()) == ["1", "2"]
 
 
+def test_a_save_that_is_too_late_leaves_no_data(spark, opened, monkeypatch):
+    """Neither one that is too late already nor one that comes too late while it writes."""
+    import os
+    one, two, three = opened(), opened(), opened()
+    a, b, c = one.load(), two.load(), three.load()
+    one.save(a.unionByName(rows(spark, 1)))
+    folders = lambda: {f for f in os.listdir(one.path) if f.startswith("data-")}
+    with pytest.raises(Conflict):
+        two.save(b.unionByName(rows(spark, 2)))
+    assert folders() == set(one.loaded["folders"])
+    write = three._write
+
+    def slow(df):
+        one.save(one.load().unionByName(rows(spark, 3)))
+        return write(df)
+
+    monkeypatch.setattr(three, "_write", slow)
+    three.loaded = one.loaded
+    with pytest.raises(Conflict):
+        three.save(c.unionByName(rows(spark, 4)))
+    assert {f for v in range(one.version() + 1) for f in one.commit(v)["folders"]} == folders() and ids(one.read()) == ["1", "3"]
+
+
+def test_csv_logs_are_compressed_and_plain_ones_are_read(spark, opened):
+    import os
+    log = opened()
+    log.append(spark.createDataFrame([row(k, reason="the same words " * 50) for k in range(400)], BATCH_LOG))
+    name = log.commit(log.version())["folders"][0]
+    assert sum(e.stat().st_size for e in os.scandir(f"{log.path}/{name}")) < 400 * 15 * 50 / 4
+    plain = FS._strings(rows(spark, 900), FS._BREAKS)
+    plain.write.options(**FS.CSV_OPTIONS).csv(f"{log.path}/data-plain")
+    assert log._try_commit(log.version() + 1, [name, "data-plain"], -1)
+    assert len(ids(log.read())) == 401 and {tuple(r) for r in log.read().where("row_id = 900").collect()} == {row(900)}
+
+
 def test_readers_keep_their_version(spark, opened):
     opened().append(rows(spark, 0))
     reader = opened()
