@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -292,3 +293,45 @@ def test_keys_reach_what_the_edit_distance_accepts():
             met += bool(keys[0] & keys[1])
         assert met >= 190
     assert substring.paragraphs_of("one two " * 20)[4].any()  # lines that repeat themselves have keys too
+
+
+def test_bits_tell_texts_apart_that_repeat_their_words():
+    """Never more bits apart than words may be edited, also where the words are the same and only their numbers differ."""
+    rng = random.Random(41)
+    hashes = lambda words: substring._words(" ".join(words).encode())[0]
+    apart = lambda x, y: int(np.bitwise_count(x & ~y).sum())
+    for n in (24, 60):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(n), 4):
+            b[k] = rng.choice("abcxyz")
+        x, y = substring._bits([hashes(a), hashes(b)])
+        assert max(apart(x, y), apart(y, x)) <= substring.distance([w.encode() for w in a], [w.encode() for w in b], n)
+    x, y, z = substring._bits([hashes(["in"] * 18 + ["er"] * 6), hashes(["in"] * 6 + ["er"] * 18), hashes([])])
+    assert min(apart(x, y), apart(y, x)) > substring._limit(24, 24, substring.LEAST) and not z.any()
+
+
+def test_words_of_many_passages_are_read_a_few_documents_at_a_time(spark, monkeypatch):
+    rng = random.Random(42)
+    texts = [" ".join(w.capitalize() for w in prose(rng, 60)) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = []
+    for i, t in enumerate(texts):
+        h = substring._words(t.encode())[0]
+        rows += [(substring.class_of(h[p:p + 24], False), i, p, 24) for p in range(0, 36, 3)]
+    samples = spark.createDataFrame(rows, "cls long, doc_id long, pos int, n int")
+    found = substring._texts(d, samples, "doc_id", "text", False)
+    assert {r["cls"]: bytes(r["words"]) for r in found.collect()} == {
+        c: b" ".join(texts[i].lower().encode().split()[p:p + n]) for c, i, p, n in rows}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_long_texts_give_their_keys_in_bounded_batches(spark):
+    rng = random.Random(43)
+    vocabulary = [w.capitalize() for w in prose(rng, 500)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(30_000)) for _ in range(3)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = substring.paragraphs(d)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert rows.count() == sum(len(substring.paragraphs_of(t)[0]) for t in texts) and sizes.count() > 1
