@@ -146,3 +146,21 @@ def test_tree_learners_get_kept_rows_in_bounded_partitions(spark, monkeypatch):
     made.value = 0
     ML.text_forest("t").fit(df)
     assert made.value <= 3 * 200
+
+
+def test_tree_learners_get_no_more_partitions_than_their_rows_need(spark, monkeypatch):
+    """Every task of a tree learner hands on the sums of all nodes, so rows in many small partitions cost as many sums."""
+    from deskpass.operators import ml as ML
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), sorted(r.label for r in rows.collect())))
+
+    df = spark.range(0, 200, 1, 50).select(F.col("id").cast("string").alias("t"), F.col("id").cast("double").alias("label"))
+    monkeypatch.setattr(ML, "PARTITION_BYTES", 25 * 4 * 16)
+    ML.OnKeptRows(Learner(), ["t", "label"], 16).fit(df)
+    monkeypatch.setattr(ML, "PARTITION_BYTES", 100 * 4 * 16)
+    ML.OnKeptRows(Learner(), ["t", "label"], 16).fit(df)
+    every = [float(i) for i in range(200)]
+    assert seen == [(8, every), (spark.sparkContext.defaultParallelism, every)]
